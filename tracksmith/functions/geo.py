@@ -22,7 +22,8 @@ _WKT_POINT = rf"(?i)^\s*(?:srid\s*=\s*\d+\s*;)?\s*point\s*(?:zm|z|m)?\s*\(\s*{_N
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # not least(): it skips nulls, and a missing point must give no distance
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.when(a > 1.0, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def haversine_np(lat1, lon1, lat2, lon2):

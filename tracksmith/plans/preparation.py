@@ -10,6 +10,8 @@ from tracksmith.functions.timebins import micros
 from tracksmith.operators.grid import regular_grid
 from tracksmith.operators.hotkeys import heavy_keys, key_totals
 from tracksmith.operators.intervals import merge_intervals
+from tracksmith.operators.stops import stops_and_trips
+from tracksmith.operators.spatial_join import near_and_within
 from tracksmith.sources.tables import table
 
 STOPS = "preprocessed_stops_sample"
@@ -44,7 +46,27 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return grid.select("user_id", F.col("step").alias("hour"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_user_totals": p2_user_totals, "p4_found": p4_found}
+def p6_stops_and_trips(spark: SparkSession, folder: str) -> DataFrame:
+    """Stops and trips with duration, number of pings, middle and length of path."""
+    pings = records(spark, folder).where(~F.col("is_stay") & F.col("pos").isNotNull())
+    return stops_and_trips(pings, "user_id", "datetime", F.col("pos.lat"), F.col("pos.lon"), order="id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = p6_stops_and_trips(spark, folder)
+    return found.select("user_id", "kind", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    stays = records(spark, folder).where(F.col("is_stay") & F.col("pos").isNotNull())
+    found = near_and_within(
+        stays, "id", F.col("pos.lat"), F.col("pos.lon"), table(spark, folder, "area_layer"), "cell_id", "geometry",
+        table(spark, folder, "landmarks"), "landmark_id", "lat", "lon", 100.0,
+    )
+    return found.replace({"region": "cell", "point": "landmark"}, subset=["target_kind"])
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_user_totals": p2_user_totals, "p4_found": p4_found, "p6_found": p6_found, "p6_stops_and_trips": p6_stops_and_trips, "p7_found": p7_found}
 
 SQL = {
     "p1_found": """
