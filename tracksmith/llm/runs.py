@@ -49,7 +49,7 @@ def collapse_runs(
     rows = df.select(F.col(key).alias("k"), micros(time).alias("t"), F.col(order).cast("long").alias("o"), lat.alias("la"), lon.alias("lo"))
     rows = rows.where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("o").isNotNull() & F.col("la").between(-90, 90) & F.col("lo").between(-180, 180))
     rows = rows.select("k", F.floor(F.col("t") / size).cast("long").alias("c"), "t", "o", "la", "lo").repartition("k", "c").sortWithinPartitions("k", "c", "t", "o")
-    longs, doubles = ("part", "t0", "o0", "t1", "n"), ("la0", "lo0", "la1", "lo1")
+    longs, doubles = ("part", "t0", "o0", "t1", "n", "head", "tail"), ("la0", "lo0", "la1", "lo1")
     schema = T.StructType([T.StructField("k", kind), *(T.StructField(c, T.LongType()) for c in longs), *(T.StructField(c, T.DoubleType()) for c in doubles)])
     arrow = pa.schema([("k", to_arrow_type(kind)), *((c, pa.int64()) for c in longs), *((c, pa.float64()) for c in doubles)])
 
@@ -79,15 +79,15 @@ def collapse_runs(
             spans = spans_of_runs(changes)
             a, z = spans[:, 0], spans[:, 1] - 1
             last_of_chunk = np.concatenate([new_chunk[1:], [True]])
-            edge = new_chunk[a] | last_of_chunk[z]
-            keep = edge | (z - a + 1 >= least)
-            a, z, edge = a[keep], z[keep], edge[keep]
-            columns = [np.where(edge, -(2**62), c[a]), t[a], o[a], t[z], z - a + 1, la[a], lo[a], la[z], lo[z]]
+            head, tail = new_chunk[a], last_of_chunk[z]
+            keep = head | tail | (z - a + 1 >= least)
+            a, z, head, tail = a[keep], z[keep], head[keep], tail[keep]
+            columns = [np.where(head | tail, -(2**62), c[a]), t[a], o[a], t[z], z - a + 1, head.astype(np.int64), tail.astype(np.int64), la[a], lo[a], la[z], lo[z]]
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at[a])), *(pa.array(x, ty) for x, ty in zip(columns, arrow.types[1:]))], schema=arrow)
 
     w = Window.partitionBy("k", "part").orderBy("t0", "o0")
-    edge = F.col("part") == -(2**62)
-    goes_on = edge & (haversine(F.lag("la1").over(w), F.lag("lo1").over(w), F.col("la0"), F.col("lo0")) <= within)
+    # the first run of a chunk (or batch) goes on with the last one of the chunk before
+    goes_on = (F.col("head") == 1) & (F.lag("tail").over(w) == 1) & (F.col("part") == -(2**62)) & (haversine(F.lag("la1").over(w), F.lag("lo1").over(w), F.col("la0"), F.col("lo0")) <= within)
     found = rows.mapInArrow(run, schema).withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     found = found.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k", "part", "run").agg(
         F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n"), F.min_by(F.struct("la0", "lo0"), F.struct("t0", "o0")).alias("p")
