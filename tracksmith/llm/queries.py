@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracksmith.llm.clusters import describe_clusters, similarity_clusters
 from tracksmith.llm.leaks import leaked_items
 from tracksmith.llm.runs import collapse_runs
 from tracksmith.llm.tokens import encode_corpus
@@ -23,6 +24,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("user_id", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"))
 
 
+def _venues(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return similarity_clusters(records(spark, folder).where("is_stay"), "id", F.col("pos.lat"), F.col("pos.lon"), F.col("place"), reach=100.0, least=3)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _venues(spark, folder)["members"].select("id", "cluster_id")
+
+
+def p5_venues(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and most typical record of each venue, loose ones split around their densest spots."""
+    return describe_clusters(_venues(spark, folder)["cells"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -41,6 +55,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_looking_pairs(unified_forms(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_venues": p5_venues, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
 SQL: dict[str, str] = {}
