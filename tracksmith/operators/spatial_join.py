@@ -206,14 +206,15 @@ def triangles(regions: DataFrame, region_id: str, geometry: str) -> DataFrame:
 
 def near_and_within(
     points: DataFrame, point_id: str, lat: Column, lon: Column, regions: DataFrame, region_id: str, geometry: str,
-    others: DataFrame, other_id: str, other_lat: str, other_lon: str, distance: float = 100.0, broadcast_items: int = BROADCAST_ITEMS,
+    others: DataFrame, other_id: str, other_lat: str, other_lon: str, distance: float = 100.0, broadcast_items: int = BROADCAST_ITEMS, planar: bool = False,
 ) -> DataFrame:
     """For every point the region that contains it and the other points at most ``distance`` metres away.
 
     ``point_id, target_kind ("region" | "point"), target_id``. Holes are outside; a point on a border shared by several
     regions belongs to the one of the smallest id. Points without id or coordinates match nothing; others without
     coordinates are not near anything; repeated rows give one row. Empty tables on either side give no rows for it.
-    Other columns are ignored, whatever their names. Ids are integers.
+    Other columns are ignored, whatever their names. Ids are integers. With ``planar`` coordinates may be of any size; others
+    then must be empty.
 
     Regions are cut into triangles (ear clipping, in parallel). Their count and that of the others are checked: up to
     ``broadcast_items`` together, a bounding-volume hierarchy over them goes to every executor and the points are not
@@ -222,7 +223,8 @@ def near_and_within(
     further by a hash of the point, with a copy of the tile's items for each part. Candidates are tested exactly.
     """
     pts = points.select(F.col(point_id).cast("long").alias("id"), lat.cast("double").alias("la"), lon.cast("double").alias("lo"))
-    pts = pts.where(F.col("id").isNotNull() & F.col("la").between(-90, 90) & F.col("lo").between(-180, 180))
+    far = (1e300, 1e300) if planar else (90, 180)
+    pts = pts.where(F.col("id").isNotNull() & F.col("la").between(-far[0], far[0]) & F.col("lo").between(-far[1], far[1]))
     nothing = [F.lit(None).cast("double").alias(c) for c in ("bx", "by", "cx", "cy")]
     discs = others.select(F.lit(1).cast("byte").alias("kind"), F.col(other_id).cast("long").alias("id"), F.col(other_lon).cast("double").alias("ax"), F.col(other_lat).cast("double").alias("ay"), *nothing)
     discs = discs.where(F.col("id").isNotNull() & F.col("ay").between(-90, 90) & F.col("ax").between(-180, 180))

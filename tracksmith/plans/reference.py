@@ -1,6 +1,219 @@
-"""Queries of the mobility operators over the driver tables, and their SQL."""
+"""Queries of the mobility operators over the driver tables, and their SQL.
+
+The tables have no planar trajectory, so one is made from ``events`` in the same way on both sides: the number k in
+``props`` is a place on a lattice of 10 x 10 points 1000 m apart.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracksmith.operators import measures as m
+from tracksmith.operators import preparing as pr
+from tracksmith.operators import spatial as sp
+from tracksmith.operators import statistics as us
+from tracksmith.operators.temporal import TemporalAggregator
+from tracksmith.operators.trajectory import Trajectories, in_time, up_to_now
+from tracksmith.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The trajectory in SQL; ``gaps`` has no label and no place where k is a multiple of 7.
+TRAJ = """with traj as (select user_id, ts as datetime, event_id as seq, cast(regexp_extract(props, '[0-9]+') as integer) as labels,
+  (cast(regexp_extract(props, '[0-9]+') as integer) % 10) * 1000.0::double as lon, (cast(regexp_extract(props, '[0-9]+') as integer) // 10) * 1000.0::double as lat, value as v from events),
+gaps as (select user_id, datetime, seq, nullif(labels, (labels // 7) * 7) as labels, case when labels % 7 <> 0 then lon end as lon, case when labels % 7 <> 0 then lat end as lat, v from traj),
+coarse as (select user_id, datetime, seq, labels % 4 as labels, (labels % 4) * 1000.0::double as lon, 0.0::double as lat, v from traj),
+stays as (select user_id, datetime, seq, labels, lon, lat, datetime as "start", datetime + to_microseconds(cast(round(v * 60000000) as bigint)) as "end" from traj)
+"""
+
+
+def traj(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    df = table(spark, folder, "events").select("user_id", F.col("ts").alias("datetime"), F.col("event_id").alias("seq"), k.alias("labels"), F.col("value").alias("v"))
+    return df.select("user_id", "datetime", "seq", "labels", (F.col("labels") % 10 * 1000.0).alias("lon"), (F.floor(F.col("labels") / 10) * 1000.0).alias("lat"), "v")
+
+
+def gaps(spark: SparkSession, folder: str) -> DataFrame:
+    there = F.col("labels") % 7 != 0
+    return traj(spark, folder).select("user_id", "datetime", "seq", *(F.when(there, F.col(c)).alias(c) for c in ("labels", "lon", "lat")), "v")
+
+
+def coarse(spark: SparkSession, folder: str) -> DataFrame:
+    return traj(spark, folder).withColumn("labels", F.col("labels") % 4).withColumns({"lon": F.col("labels") * 1000.0, "lat": F.lit(0.0)})
+
+
+def stays(spark: SparkSession, folder: str) -> DataFrame:
+    df = traj(spark, folder)
+    end = F.timestamp_micros(F.unix_micros(F.col("datetime").cast("timestamp")) + F.round(F.col("v") * 60000000).cast("long")).cast("timestamp_ntz")
+    return df.select("user_id", "datetime", "seq", "labels", "lon", "lat", F.col("datetime").alias("start"), end.alias("end"))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("value",)})
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None, base: str = TRAJ) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = base + sql
+
+
+def mobility_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Places, entropy and radius of gyration per user after grid aggregation and removal of repeated places."""
+    grid = sp.GridAggregation(2000.0).aggregate(traj(spark, folder), labels=False)
+    moves = pr.next_location_sequence(grid).withColumn("labels", F.xxhash64("lon", "lat"))
+    parts = [m.num_of_distinct_locations(moves).withColumnRenamed("value", "n_places"), m.unc_entropy(moves).withColumnRenamed("value", "entropy"), m.radius_of_gyration(moves, False).withColumnRenamed("value", "radius")]
+    return rounded(parts[0].join(parts[1], "user_id").join(parts[2], "user_id"), "entropy", "radius")
+
+
+_CELLS = """, e as (select min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1 from traj),
+n as (select *, ceil((x1 - x0) / 2000.0 + 1) - 1 nx, ceil((y1 - y0) / 2000.0 + 1) - 1 ny from e),
+grid as (select user_id, datetime, seq, v, x0 + (least(floor((lon - x0) / ((x1 - x0) / nx)), nx - 1) + 0.5) * ((x1 - x0) / nx) as lon,
+  y0 + (least(floor((lat - y0) / ((y1 - y0) / ny)), ny - 1) + 0.5) * ((y1 - y0) / ny) as lat from traj, n)
+"""
+add("mobility_profile", mobility_profile, _CELLS + """, moves as (select * from (select *, lag(lon) over w plon, lag(lat) over w plat from grid window w as (partition by user_id order by datetime, seq)) where lon is distinct from plon or lat is distinct from plat),
+f as (select user_id, lon, lat, count(*) c, sum(count(*)) over (partition by user_id) n from moves group by 1, 2, 3),
+centre as (select user_id, avg(lon) cx, avg(lat) cy from f group by 1)
+select user_id, n_places, round(entropy, 6) as entropy, round(radius, 6) as radius from
+(select user_id, count(*) n_places, sum(-(c / n) * log2(c / n)) entropy from f group by 1) join
+(select user_id, sqrt(avg((lon - cx) * (lon - cx) + (lat - cy) * (lat - cy))) radius from moves join centre using (user_id) group by 1) using (user_id)""")
+
+# sources and selection
+add("io1_checkins", lambda s, d: Trajectories.from_df(table(s, d, "raw_checkins"), user="id").df.select("user_id", F.unix_seconds(F.col("datetime").cast("timestamp")).alias("t"), "place").where("user_id is not null and t is not null and place is not null").groupBy("user_id").agg(F.count_distinct("place").alias("n_places")))
+add("sc4_uloc", lambda s, d: Trajectories.from_df(traj(s, d)).uloc([3, 5, 8]).df.select("user_id", "datetime", "labels"), "select user_id, datetime, labels from traj where user_id in (3, 5, 8)")
+add("sc5_users", lambda s, d: Trajectories.from_df(traj(s, d)).get_users(), "select distinct user_id from traj")
+add("sc7_quality_filter", lambda s, d: Trajectories.from_df(traj(s, d)).uloc(us.user_quality(traj(s, d), "1D").where("n_records >= 60 and duration > 20")).df.select("user_id", "datetime"),
+    "select user_id, datetime from traj where user_id in (select user_id from traj group by 1 having count(*) >= 60 and date_diff('day', min(datetime), max(datetime)) + 1 > 20)")
+add("sc8_drop_duplicates", lambda s, d: Trajectories.from_df(coarse(s, d)).df.select("user_id", "lon", "lat").distinct(), "select distinct user_id, lon, lat from coarse")
+add("sc9_dropna", lambda s, d: Trajectories.from_df(gaps(s, d)).dropna().df.select("user_id", "datetime", "labels"), "select user_id, datetime, labels from gaps where lon is not null")
+add("sc11_inner_records", lambda s, d: Trajectories.from_df(traj(s, d)).nth(1, -2).df.select("user_id", "datetime", "labels"),
+    "select user_id, datetime, labels from traj qualify row_number() over (partition by user_id order by datetime, seq) > 1 and row_number() over (partition by user_id order by datetime desc, seq desc) > 1")
+add("g1_to_crs", lambda s, d: rounded(Trajectories.from_df(table(s, d, "landmarks").select("landmark_id", F.lit("2024-01-01").alias("datetime"), "lon", "lat"), user="landmark_id").to_crs("EPSG:3857").df.select("user_id", "lon", "lat"), "lon", "lat"),
+    "select landmark_id as user_id, round(6378137.0 * radians(lon), 6) as lon, round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 6) as lat from landmarks", "")
+
+# statistics
+add("us1_fraction_empty", lambda s, d: rounded(us.fraction_of_empty_records(traj(s, d), "1H")),
+    "select user_id, round(1 - count(distinct h) / (max(h) - min(h) + 1), 6) as value from (select user_id, epoch_us(datetime) // 3600000000 h from traj) group by 1")
+add("us2_count_records", lambda s, d: us.count_records(traj(s, d)), "select user_id, count(*) as value from traj group by 1")
+add("us3_records_per_frame", lambda s, d: us.count_records_per_time_frame(traj(s, d), "7D"),
+    ", o as (select date_trunc('day', min(datetime)) o from traj) select user_id, time_bucket(interval 7 days, datetime, o) as bin_start, count(*) as n_records from traj, o group by 1, 2")
+add("us4_duration", lambda s, d: us.user_trajectories_duration(traj(s, d), "5H"),
+    ", o as (select *, epoch_us(date_trunc('day', min(datetime) over (partition by user_id))) o from traj) select user_id, max((epoch_us(datetime) - o) // 18000000000) - min((epoch_us(datetime) - o) // 18000000000) + 1 as value from o group by 1")
+add("us4_occupied", lambda s, d: us.user_trajectories_duration(traj(s, d), "1D", False), "select user_id, count(distinct datetime::date) as value from traj group by 1")
+add("us5_consecutive", lambda s, d: us.consecutive_record(traj(s, d), "1D"),
+    ", b as (select distinct user_id, datetime::date - date '1970-01-01' b from traj), i as (select user_id, b - row_number() over (partition by user_id order by b) i from b) select user_id, max(c) as value from (select user_id, count(*) c from i group by user_id, i) group by 1")
+for _name, _how in (("us6_max", "max"), ("us7_min", "min"), ("us8_mean", "avg")):
+    add(_name, lambda s, d, how=_how: rounded(us.per_user(traj(s, d), "v", how)), f"select user_id, round({_how}(v), 6) as value from traj group by 1")
+add("pr1_top_time", lambda s, d: pr.top_time(coarse(s, d), "1D").select("user_id", "datetime", "lon"), """
+, b as (select *, datetime::date b, coalesce(epoch_us(lead(datetime) over (partition by user_id, datetime::date order by datetime, seq)) - epoch_us(datetime), 0) w from coarse),
+p as (select user_id, b, lon, sum(w) w, min((datetime, seq)) f from b group by 1, 2, 3),
+r as (select user_id, b, lon from p qualify row_number() over (partition by user_id, b order by w desc, f) = 1)
+select b.user_id, b.datetime, b.lon from b semi join r on b.user_id = r.user_id and b.b = r.b and b.lon = r.lon""")
+add("pr2_mode", lambda s, d: pr.mode_of(gaps(s, d), "labels"), "select user_id, labels as value from (select user_id, labels, row_number() over (partition by user_id order by count(*) desc, labels) r from gaps where labels is not null group by 1, 2) where r = 1")
+add("pr3_rowwise_average", lambda s, d: rounded(us.rowwise_average(traj(s, d), "v"), "mean"), "select n, round(avg(v), 6) as mean from (select v, cast(row_number() over (partition by user_id order by datetime, seq) - 1 as integer) n from traj) group by 1")
+add("pr5_normalise", lambda s, d: rounded(us.groupwise_normalise(traj(s, d), "v")).select("user_id", "seq", "value"), "select user_id, seq, round(v / sum(v) over (partition by user_id), 6) as value from traj")
+add("pr6_expansion", lambda s, d: us.groupwise_expansion(traj(s, d), "v").withColumn("value", F.round("value", 9)).select("user_id", "seq", "value"), "select user_id, seq, round(avg(v) over (partition by user_id order by datetime, seq rows between unbounded preceding and current row), 9) as value from traj")
+_HIST = """, e as (select min(v) lo, max(v) hi from traj), i as (select {index} i, lo, hi from traj, e), c as (select i, count(*) c from i where i between 1 and {n} group by 1)
+select round(lo + (b - 1) * {w}, 6) as bin_lo, round(lo + b * {w}, 6) as bin_hi, round(coalesce(c, 0) / (select sum(c) from c), 6) as share from e, (select unnest(range(1, {n} + 1)) b) left join c on i = b"""
+add("pr7_distribution", lambda s, d: rounded(us.convert_to_distribution(traj(s, d), "v", num_of_classes=15), "bin_lo", "bin_hi", "share"), _HIST.format(index="least(ceil((v - lo) / ((hi - lo) / 15)), 15)::bigint", n=15, w="((hi - lo) / 15)"))
+add("pr8_normalize", lambda s, d: rounded(us.normalize(us.count_records(traj(s, d)), "value", "share"), "share"), "select user_id, count(*) as value, round(count(*) / (select count(*) from traj), 6) as share from traj group by 1")
+add("pr9_total_normalise", lambda s, d: us.total_normalise(us.count_records(traj(s, d)), "value").withColumn("value", F.round("value", 9)), "select user_id, round(count(*) / (select count(*) from traj), 9) as value from traj group by 1")
+add("pr10_start_end", lambda s, d: pr.start_end(coarse(s, d)).select("user_id", "datetime", "labels", "start", "end"), """
+, c as (select *, case when labels is distinct from lag(labels) over (partition by user_id order by datetime, seq) then 1 else 0 end f from coarse),
+r as (select *, sum(f) over (partition by user_id order by datetime, seq) r from c)
+select user_id, min(datetime) as datetime, any_value(labels) as labels, min(datetime) as "start", max(datetime) as "end" from r group by user_id, r having min(datetime) <> max(datetime)""")
+for _how, _f, _o in (("ffill", "last_value", "unbounded preceding and current row"), ("bfill", "first_value", "current row and unbounded following")):
+    add(f"fi1_{_how}", lambda s, d, how=_how: pr.fill_gaps(gaps(s, d), how).select("user_id", "seq", "lon", "lat"),
+        f"select user_id, seq, {_f}(lon ignore nulls) over w as lon, {_f}(lat ignore nulls) over w as lat from gaps window w as (partition by user_id order by datetime, seq rows between {_o})")
+_MOVES = """, moves as (select * from (select *, lag(lon) over w plon, lag(lat) over w plat, row_number() over w rn from {t} where lon is not null window w as (partition by user_id order by datetime, seq)) where rn = 1 or lon is distinct from plon or lat is distinct from plat)
+"""
+add("fi2_next_location", lambda s, d: pr.next_location_sequence(coarse(s, d)).select("user_id", "datetime", "labels"), _MOVES.format(t="coarse") + "select user_id, datetime, labels from moves")
+add("fi4_stop_detection", lambda s, d: pr.stop_detection(traj(s, d), 3000, "10 min", crs="EPSG:3857").where("is_stop").select("user_id", "seq", "stop_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")), """
+, n as (select *, row_number() over (partition by user_id order by datetime, seq) i from traj),
+a as (with recursive a as (select user_id, i, i as anchor, lon as ax, lat as ay from n where i = 1
+  union all select n.user_id, n.i, case when sqrt((n.lon - ax) * (n.lon - ax) + (n.lat - ay) * (n.lat - ay)) > 3000 then n.i else anchor end,
+    case when sqrt((n.lon - ax) * (n.lon - ax) + (n.lat - ay) * (n.lat - ay)) > 3000 then n.lon else ax end, case when sqrt((n.lon - ax) * (n.lon - ax) + (n.lat - ay) * (n.lat - ay)) > 3000 then n.lat else ay end
+  from a join n on n.user_id = a.user_id and n.i = a.i + 1) select * from a),
+g as (select n.user_id, anchor, count(*) c, max(datetime) - min(datetime) d, max(anchor) over (partition by n.user_id) top, avg(n.lon) x, avg(n.lat) y from a join n using (user_id, i) group by 1, 2),
+k as (select *, row_number() over (partition by user_id order by anchor) stop_id from g where c > 1 and d > interval 10 minutes and anchor < top)
+select n.user_id, n.seq, stop_id, round(x, 6) as lon, round(y, 6) as lat from n join a using (user_id, i) join k on k.user_id = n.user_id and k.anchor = a.anchor""")
+
+# space and time
+_FIRST = """, p as (select lon, lat, min((user_id, datetime, seq)) f from {t} where lon is not null group by 1, 2), l as (select lon, lat, cast(row_number() over (order by f) - 1 as integer) labels from p)
+"""
+add("sp1_grid", lambda s, d: sp.GridAggregation(2000.0).aggregate(traj(s, d)).select("user_id", "seq", "lon", "lat", "labels"), _CELLS + _FIRST.format(t="grid") + "select user_id, seq, lon, lat, l.labels from grid join l using (lon, lat)")
+add("sp4_create_grid", lambda s, d: sp.create_grid(traj(s, d), 2000.0), """, e as (select min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1 from traj), n as (select *, ceil((x1 - x0) / 2000.0 + 1)::bigint - 1 nx, ceil((y1 - y0) / 2000.0 + 1)::bigint - 1 ny from e),
+w as (select *, (x1 - x0) / nx wx, (y1 - y0) / ny wy from n)
+select i * ny + j as cell_id, x0 + i * wx as xmin, y0 + j * wy as ymin, x0 + (i + 1) * wx as xmax, y0 + (j + 1) * wy as ymax, x0 + (i + 0.5) * wx as cx, y0 + (j + 0.5) * wy as cy
+from w, (select unnest(range(0, 1000)) i), (select unnest(range(0, 1000)) j) where i < nx and j < ny""")
+add("sp5_dbscan", lambda s, d: sp.ClusteringAggregator(kwargs={"eps": 500.0, "min_samples": 3}).aggregate(coarse(s, d).withColumns({"lon": F.col("lon")})).select("user_id", "seq", "lon", "lat", "labels"), """
+, c as (select user_id, lon, count(*) c, min((datetime, seq)) f from coarse group by 1, 2), k as (select user_id, lon, cast(row_number() over (partition by user_id order by f) - 1 as integer) k from c where c >= 3)
+select user_id, seq, lon, lat, coalesce(k, -1) as labels from coarse left join k using (user_id, lon)""")
+
+
+def _layer(s: SparkSession, d: str) -> DataFrame:
+    cells = sp.create_grid(traj(s, d), 2000.0)
+    return cells.where("cell_id % 4 <> 1").withColumn("geometry", sp.box_wkt(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
+
+
+_LAYER = """, layer as (select i * 5 + j as cell_id, i * 1800.0 as xmin, j * 1800.0 as ymin, (i + 1) * 1800.0 as xmax, (j + 1) * 1800.0 as ymax, (i + 0.5) * 1800.0 as cx, (j + 0.5) * 1800.0 as cy
+  from (select unnest(range(0, 5)) i), (select unnest(range(0, 5)) j) where (i * 5 + j) % 4 <> 1),
+inside as (select lon, lat, min(cell_id) cell_id from (select distinct lon, lat from traj) join layer on lon between xmin and xmax and lat between ymin and ymax group by 1, 2)
+"""
+add("sp7_layer", lambda s, d: sp.LayerAggregator(_layer(s, d)).aggregate(traj(s, d)).select("user_id", "seq", "cell_id", "lon", "lat"), _LAYER + "select user_id, seq, cell_id, cx as lon, cy as lat from traj join inside using (lon, lat) join layer using (cell_id)")
+add("sp7_layer_left", lambda s, d: sp.LayerAggregator(_layer(s, d)).aggregate(traj(s, d), drop_unmatched=False).select("user_id", "seq", "cell_id", "lon", "lat"), _LAYER + "select user_id, seq, cell_id, cx as lon, cy as lat from traj left join inside using (lon, lat) left join layer using (cell_id)")
+add("sp8_labels", lambda s, d: sp.to_labels(gaps(s, d)).select("user_id", "seq", "labels"), _FIRST.format(t="gaps") + "select user_id, seq, l.labels from gaps left join l using (lon, lat)")
+add("sp10_moving_average", lambda s, d: rounded(sp.moving_average(us.count_records_per_time_frame(traj(s, d), "1D").groupBy("bin_start").agg(F.sum("n_records").alias("n")), "n", "bin_start", 3)),
+    "select bin_start, round(value, 6) as value from (select datetime::date::timestamp as bin_start, avg(count(*)) over w as value, count(*) over w as k from traj group by 1 window w as (order by datetime::date::timestamp rows between 2 preceding and current row)) where k = 3")
+add("sp11_filter_layer", lambda s, d: sp.filter_layer(_layer(s, d), traj(s, d)).select("cell_id", "cx", "cy"), _LAYER + "select cell_id, cx, cy from layer where cell_id in (select cell_id from inside)")
+_BINS = """, x as (select *, unnest(range(epoch_us("start") // 3600000000 * 3600000000, epoch_us("end") // 3600000000 * 3600000000 + 1, 3600000000)) b, epoch_us("start") s, epoch_us("end") e from stays),
+w as (select *, {rule} w from x), r as (select * from w qualify row_number() over (partition by user_id, b order by w desc, s, seq) = 1)
+"""
+_OVERLAP = "least(e, b + 3600000000) - greatest(s, b)"
+_REFERENCE = "case when e < b + 3600000000 and s > b then e - s when e > b + 3600000000 then b + 3600000000 - s else s - b end"
+_TA = ("user_id", "datetime", "labels", "lon", "lat", "start", "end")
+add("ta1_overlap", lambda s, d: TemporalAggregator("1H").aggregate(stays(s, d)).select(*_TA), _BINS.format(rule=_OVERLAP) + """, u as (select user_id, unnest(range(min(b), max(b) + 1, 3600000000)) b from r group by 1)
+select u.user_id, make_timestamp(u.b) as datetime, labels, lon, lat, "start", "end" from u left join r using (user_id, b)""")
+add("ta1_reference_rule", lambda s, d: TemporalAggregator("1H", "reference").aggregate(stays(s, d), drop_empty=True).select(*_TA), _BINS.format(rule=_REFERENCE) + """select user_id, make_timestamp(b) as datetime, labels, lon, lat, "start", "end" from r""")
+add("ta1_filled", lambda s, d: TemporalAggregator("1H").aggregate(stays(s, d), fill_method="ffill").select("user_id", "datetime", "labels"), _BINS.format(rule=_OVERLAP) + """, u as (select user_id, unnest(range(min(b), max(b) + 1, 3600000000)) b from r group by 1)
+select u.user_id, make_timestamp(u.b) as datetime, last_value(labels ignore nulls) over (partition by u.user_id order by u.b) as labels from u left join r using (user_id, b)""")
+
+# measures
+add("im1_distinct_locations", lambda s, d: m.num_of_distinct_locations(gaps(s, d)), "select user_id, count(distinct labels) + max((labels is null)::int) as value from gaps group by 1")
+add("im2_visitation_frequency", lambda s, d: rounded(m.visitation_frequency(gaps(s, d)), "freq"), "select user_id, lon, lat, round(count(*) / sum(count(*)) over (partition by user_id), 6) as freq from gaps where lon is not null group by 1, 2, 3")
+add("im3_distinct_over_time", lambda s, d: m.distinct_locations_over_time(traj(s, d), "1D"), """, f as (select user_id, labels, min(datetime)::date b from traj group by 1, 2), c as (select user_id, b, count(*) c from f group by 1, 2),
+u as (select user_id, unnest(generate_series(min(b)::timestamp, max(b)::timestamp, interval 1 day)) b from c group by 1)
+select u.user_id, u.b as bin_start, cast(sum(coalesce(c, 0)) over (partition by u.user_id order by u.b) as bigint) as n_distinct from u left join c on c.user_id = u.user_id and c.b = u.b::date""")
+add("im4_first_visits", lambda s, d: m.first_visits(traj(s, d)).select("user_id", "lon", "lat", "datetime"), "select user_id, lon, lat, min(datetime) as datetime from traj group by 1, 2, 3")
+_LAG = "(select *, lag(lon) over w plon, lag(lat) over w plat, lag(datetime) over w pt from {t} where lon is not null window w as (partition by user_id order by datetime, seq))"
+_HOP = "sqrt((lon - plon) * (lon - plon) + (lat - plat) * (lat - plat))"
+add("im5_jump_lengths", lambda s, d: rounded(m.jump_lengths(gaps(s, d))), f"select user_id, datetime, round({_HOP}, 6) as value from {_LAG.format(t='gaps')}")
+add("im6_nonzero_trips", lambda s, d: m.nonzero_trips(coarse(s, d)), f"select user_id, count(*) as value from {_LAG.format(t='coarse')} where {_HOP} <> 0 group by 1")
+add("im7_self_transitions", lambda s, d: m.self_transitions(traj(s, d)), f"select user_id, count(*) filter (lon = plon and lat = plat) as value from {_LAG.format(t='traj')} group by 1")
+add("im8_waiting_times", lambda s, d: m.waiting_times(coarse(s, d)), """, k as (select * from (select *, lead(lon) over (partition by user_id order by datetime, seq) nl from coarse) where nl is distinct from lon)
+select user_id, datetime, (epoch_us(datetime) - epoch_us(lag(datetime) over (partition by user_id order by datetime, seq))) // 3600000000 as value from k""")
+_CENTRE = """, centre as (select user_id, avg(lon) cx, avg(lat) cy from (select distinct user_id, lon, lat from traj) group by 1), far as (select *, sqrt((lon - cx) * (lon - cx) + (lat - cy) * (lat - cy)) d from traj join centre using (user_id))
+"""
+_RUNNING = "over (partition by user_id order by datetime, seq rows between unbounded preceding and current row)"
+add("im9_center_of_mass", lambda s, d: rounded(m.center_of_mass(traj(s, d)), "lon", "lat"), _CENTRE + "select user_id, round(cx, 6) as lon, round(cy, 6) as lat from centre")
+add("im10_radius", lambda s, d: rounded(m.radius_of_gyration(traj(s, d), False)), _CENTRE + "select user_id, round(sqrt(avg(d * d)), 6) as value from far group by 1")
+add("im10_radius_evolution", lambda s, d: rounded(m.radius_of_gyration(traj(s, d))), _CENTRE + f"select user_id, datetime, round(sqrt(avg(d * d) {_RUNNING}), 6) as value from far")
+add("im10_radius_compat", lambda s, d: rounded(m.radius_of_gyration(traj(s, d), compat=True)), _CENTRE + f"select user_id, datetime, round(avg(d) {_RUNNING}, 6) as value from far")
+add("im11_msd_first", lambda s, d: rounded(m.mean_square_displacement(traj(s, d), time_evolution=False)), """, f as (select *, first_value(lon) over w fx, first_value(lat) over w fy from traj window w as (partition by user_id order by datetime, seq))
+select user_id, round(avg((lon - fx) * (lon - fx) + (lat - fy) * (lat - fy)), 6) as value from f group by 1""")
+add("im11_msd_center", lambda s, d: m.mean_square_displacement(traj(s, d), from_center=True).withColumn("value", F.round("value", 2)), _CENTRE + f"select user_id, datetime, round(avg(d * d) {_RUNNING}, 2) as value from far")
+_RETURN = ", b as (select *, (epoch_us(datetime) - epoch_us(lag(datetime) over (partition by user_id, labels order by datetime, seq))) // 3600000000 as value from traj)\n"
+add("im12_return_time", lambda s, d: m.return_time(traj(s, d)), _RETURN + "select user_id, datetime, value from b")
+add("im12_return_time_by_place", lambda s, d: rounded(m.return_time(traj(s, d), by_place=True), "mean"), _RETURN + "select user_id, lon, lat, count(*) as n, round(avg(value), 6) as mean from b where value is not null group by 1, 2, 3")
+add("im13_random_entropy", lambda s, d: rounded(m.random_entropy(traj(s, d))), "select user_id, round(log2(count(distinct labels)), 6) as value from traj group by 1")
+add("im14_unc_entropy", lambda s, d: rounded(m.unc_entropy(traj(s, d))), "select user_id, round(sum(-p * log2(p)), 6) as value from (select user_id, count(*) / sum(count(*)) over (partition by user_id) p from traj group by user_id, labels) group by 1")
+add("im24_stationarity", lambda s, d: rounded(m.stationarity(coarse(s, d))), "select user_id, round(avg((labels is not distinct from p)::int), 6) as value from (select *, lag(labels) over (partition by user_id order by datetime, seq) p from coarse) group by 1")
+add("im25_regularity", lambda s, d: rounded(m.regularity(gaps(s, d))), "select user_id, round(count(*) / (count(distinct labels) + max((labels is null)::int)), 6) as value from gaps group by 1")
+add("cm1_distances", lambda s, d: rounded(m.dist_travelling_distance(traj(s, d), n_bins=20), "bin_lo", "bin_hi", "share"),
+    f", j as (select {_HOP} v from {_LAG.format(t='traj')} where {_HOP} <> 0)" + _HIST.replace("from traj", "from j").format(index="least(ceil((v - lo) / ((hi - lo) / 20)), 20)::bigint", n=20, w="((hi - lo) / 20)"))
+for _how, _c in (("incoming", "i"), ("outgoing", "o"), ("all", "i + o")):
+    add(f"cm2_flows_{_how}", lambda s, d, how=_how: m.flows(traj(s, d), how), _MOVES.format(t="traj") + f", f as (select lon, lat, (row_number() over (partition by user_id order by datetime, seq) > 1)::bigint i, (row_number() over (partition by user_id order by datetime desc, seq desc) > 1)::bigint o from moves) select lon, lat, cast(sum({_c}) as bigint) as flow from f group by 1, 2")
