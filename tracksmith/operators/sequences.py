@@ -256,6 +256,8 @@ def _cogroup(train: DataFrame, test: DataFrame, kernel) -> DataFrame:
         return pd.DataFrame({"user_id": [left["user_id"].iloc[0]], "c": [float(kernel(left.sort_values("i")["labels"].tolist(), right.sort_values("i")["labels"].tolist()))]})
 
     kind = dict(train.dtypes)["user_id"]
+    # both may come from one table; new names keep their columns apart
+    train, test = (df.select(*(F.col(c).alias(c) for c in ("user_id", "i", "labels"))) for df in (train, test))
     return train.groupBy("user_id").cogroup(test.groupBy("user_id")).applyInPandas(run, f"user_id {kind}, c double")
 
 
@@ -327,11 +329,9 @@ def align(a: list, b: list) -> tuple[float, list[int]]:
     for i in range(1, n + 1):
         best = np.maximum(np.maximum(pair[i - 1], up[i - 1]), left[i - 1])
         pair[i, 1:] = best[:-1] + np.where(bs == a[i - 1], 1, -1)
-        free = np.zeros(m + 1)
-        free[1:-1] = 1
-        if m:
-            free[0] = free[m] = 0
-        up[i, 1:] = np.maximum(np.maximum(pair[i - 1, 1:], left[i - 1, 1:]) - free[1:], up[i - 1, 1:])
+        opened = np.ones(m + 1)
+        opened[m] = 0
+        up[i, 1:] = np.maximum(np.maximum(pair[i - 1, 1:], left[i - 1, 1:]) - opened[1:], up[i - 1, 1:])
         cost = 0 if i == n else 1
         run = low
         for j in range(1, m + 1):

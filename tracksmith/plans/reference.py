@@ -217,3 +217,142 @@ add("cm1_distances", lambda s, d: rounded(m.dist_travelling_distance(traj(s, d),
     f", j as (select {_HOP} v from {_LAG.format(t='traj')} where {_HOP} <> 0)" + _HIST.replace("from traj", "from j").format(index="least(ceil((v - lo) / ((hi - lo) / 20)), 20)::bigint", n=20, w="((hi - lo) / 20)"))
 for _how, _c in (("incoming", "i"), ("outgoing", "o"), ("all", "i + o")):
     add(f"cm2_flows_{_how}", lambda s, d, how=_how: m.flows(traj(s, d), how), _MOVES.format(t="traj") + f", f as (select lon, lat, (row_number() over (partition by user_id order by datetime, seq) > 1)::bigint i, (row_number() over (partition by user_id order by datetime desc, seq desc) > 1)::bigint o from moves) select lon, lat, cast(sum({_c}) as bigint) as flow from f group by 1, 2")
+
+# sources
+from tracksmith.sources.checkins import clean_checkins  # noqa: E402
+
+QUERIES.pop("io1_checkins")
+add("io1_checkins", lambda s, d: clean_checkins(table(s, d, "raw_checkins")).select("user_id", F.unix_seconds("datetime").alias("t"), "lon", "lat", "place"), """
+with t as (select id, case when regexp_full_match(trim(datetime), '[0-9]{9,11}') then try_cast(trim(datetime) as bigint)
+  when datetime like '____-__-__T__:__:__Z' then epoch_us(try_strptime(datetime, '%Y-%m-%dT%H:%M:%SZ')) // 1000000
+  when datetime like '____-__-__T__:__:__+__:__' or datetime like '____-__-__T__:__:__-__:__' then epoch_us(try_strptime(datetime[:19], '%Y-%m-%dT%H:%M:%S')) // 1000000 - cast(datetime[20] || '1' as integer) * (cast(datetime[21:22] as integer) * 3600 + cast(datetime[24:25] as integer) * 60)
+  when datetime like '____-__-__ __:__:__' then epoch_us(try_strptime(datetime, '%Y-%m-%d %H:%M:%S')) // 1000000
+  when datetime like '__/__/____ __:__' then epoch_us(try_strptime(datetime, '%d/%m/%Y %H:%M')) // 1000000 end as t,
+  case when not (lat = 0 and lon = 0) and not isnan(lon) then lon end as lon, case when not (lat = 0 and lon = 0) and not isnan(lat) then lat end as lat, place from raw_checkins)
+select distinct id as user_id, t, lon, lat, place from t where id is not null and t is not null""", "")
+
+# sequences
+from tracksmith.operators import generators as gn  # noqa: E402
+from tracksmith.operators import model as mm  # noqa: E402
+from tracksmith.operators import prediction as pd_  # noqa: E402
+from tracksmith.operators import sequences as sq  # noqa: E402
+
+_LZ = """, p as (select user_id, labels, row_number() over (partition by user_id order by datetime, seq) i from coarse),
+x as (select a.user_id, a.i, a.i - b.i d from p a join p b on a.user_id = b.user_id and a.labels = b.labels and b.i < a.i),
+r as (select *, i - row_number() over (partition by user_id, d order by i) g from x), e as (select *, max(i) over (partition by user_id, d, g) z from r),
+l as (select user_id, i, max(least(z - i + 1, d)) m from e group by 1, 2),
+lz as (select p.user_id, p.i, 1 + coalesce(m, 0) as length from p left join l using (user_id, i)),
+ent as (select user_id, log2(count(*)) / avg(length) s from lz group by 1)
+"""
+add("im17_match_lengths", lambda s, d: sq.match_lengths(coarse(s, d)), _LZ + "select user_id, i, length from lz")
+add("im17_match_lengths_kernel", lambda s, d: sq.match_lengths(coarse(s, d), max_pairs=0), _LZ + "select user_id, i, length from lz")
+add("im15_lz_entropy", lambda s, d: rounded(sq.lz_entropy(coarse(s, d))), _LZ + "select user_id, round(s, 6) as value from ent")
+add("im19_real_entropy", lambda s, d: rounded(sq.real_entropy(coarse(s, d))), _LZ + "select user_id, round(s, 6) as value from ent")
+add("im16_scaled_entropy", lambda s, d: rounded(sq.real_entropy(table(s, d, "symbol_sequences"))))
+_FANO = """, q as (select n.user_id, n_locations, entropy from ({n}) n join ({s}) s on n.user_id = s.user_id),
+f as (with recursive f as (select user_id, n_locations::double n, entropy s, 1.0::double / n_locations lo, 1.0::double hi, 0 k from q union all
+  select user_id, n, s, case when g > s then x else lo end, case when g > s then hi else x end, k + 1 from (select *, (lo + hi) / 2 x,
+    -((lo + hi) / 2 * log2((lo + hi) / 2) + case when (lo + hi) / 2 < 1 then (1 - (lo + hi) / 2) * log2(1 - (lo + hi) / 2) else 0 end) + (1 - (lo + hi) / 2) * log2(greatest(n - 1, 1)) g from f where k < 60))
+  select user_id, (lo + hi) / 2 x from f where k = 60)
+select user_id, n_locations, round(entropy, 6) as entropy, round(case when n_locations <= 1 or entropy <= 0 then 1 when entropy >= log2(n_locations) then 1.0 / n_locations else x end, 6) as predictability from q join f using (user_id)"""
+_P = "select user_id, {e} entropy from ({i}) group by 1"
+_N = "select user_id, count(distinct labels) n_locations from coarse group by 1"
+_UNC = "select user_id, sum(-p * log2(p)) entropy from (select user_id, count(*) / sum(count(*)) over (partition by user_id) p from coarse group by user_id, labels) group by 1"
+add("im21_random_predictability", lambda s, d: rounded(sq.random_predictability(coarse(s, d)), "entropy", "predictability"), _FANO.format(n=_N, s="select user_id, log2(count(distinct labels)) entropy from coarse group by 1"))
+add("im22_unc_predictability", lambda s, d: rounded(sq.unc_predictability(coarse(s, d)), "entropy", "predictability"), _FANO.format(n=_N, s=_UNC))
+add("im23_real_predictability", lambda s, d: rounded(sq.real_predictability(coarse(s, d)), "entropy", "predictability"), _LZ + _FANO.format(n=_N, s="select user_id, s entropy from ent"))
+
+
+def halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The first 70 % of every sequence, and the rest."""
+    return pd_.split(coarse(s, d).drop("seq"), 0.7)
+
+
+_SEQ = """, sq as (select user_id, datetime, labels, cast(row_number() over (partition by user_id order by datetime, seq) as integer) i, count(*) over (partition by user_id) n from coarse)
+"""
+_HALVES = _SEQ + """, tr as (select user_id, i, labels from sq where i <= round_even(n * 0.7::double, 0)), te as (select user_id, labels, row_number() over (partition by user_id order by i) i from sq where i > round_even(n * 0.7::double, 0)),
+dg as (select te.user_id, te.i, te.i - tr.i d from te join tr on te.user_id = tr.user_id and te.labels = tr.labels), tn as (select user_id, count(*) n from te group by 1)
+"""
+_DENSE = """, ru as (select user_id, d, i - row_number() over (partition by user_id, d order by i) r from dg), cc as (select user_id, max(c) c from (select user_id, count(*) c from ru group by user_id, d, r) group by 1)
+"""
+add("im26_dense", lambda s, d: rounded(sq.repeatability_dense(*halves(s, d))), _HALVES + _DENSE + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join cc using (user_id)")
+add("im26_dense_kernel", lambda s, d: rounded(sq.repeatability_dense(*halves(s, d), max_pairs=0)), _HALVES + _DENSE + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join cc using (user_id)")
+add("im26_dense_compat", lambda s, d: rounded(sq.repeatability_dense(*halves(s, d), compat=True)), _HALVES + _DENSE + "select user_id, round(coalesce(c, 0) - 1 / n - 1, 6) as value from tn left join cc using (user_id)")
+add("im27_sparse", lambda s, d: rounded(sq.repeatability_sparse(*halves(s, d))))
+add("im28_equally_sparse", lambda s, d: rounded(sq.repeatability_equally_sparse(*halves(s, d))), _HALVES + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join (select user_id, max(c) c from (select user_id, count(*) c from dg group by user_id, d) group by 1) using (user_id)")
+add("im29_global_alignment", lambda s, d: rounded(sq.global_alignment(*halves(s, d))))
+add("im30_iterative_alignment", lambda s, d: rounded(sq.iterative_global_alignment(*halves(s, d))))
+
+# prediction
+_WINDOWS = _SEQ + """, wi as (select user_id, i as w, cast(n - 2 as bigint) m, lead(datetime, 2) over u as datetime, labels as x1, lead(labels) over u as x2, lead(labels, 2) over u as y from sq window u as (partition by user_id order by i)),
+ww as (select * from wi where w <= m), sp as (select *, round_even(m * 0.8::double, 0) v from ww)
+"""
+add("pd2_windows", lambda s, d: pd_.windows(coarse(s, d), 2).drop("m"), _WINDOWS + "select user_id, w, datetime, x1, x2, y from ww")
+add("pd1_splitter", lambda s, d: pd_.splitter(coarse(s, d), 0.2, 2, 3).select("user_id", "w", "x1", "x2", "y", "role", "fold"), _WINDOWS + """select user_id, w, x1, x2, y, 'test' as role, 0 as fold from sp where w > v union all
+select user_id, w, x1, x2, y, case when w <= round_even(v * k / 4::double, 0) then 'train' else 'val' end, k from sp, (select unnest([1, 2, 3]) k) where w <= v and w <= round_even(v * (k + 1) / 4, 0)""")
+add("pd5_split", lambda s, d: pd_.split(coarse(s, d), 0.8, 2)[1].select("user_id", "i", "labels"), _SEQ + "select user_id, i, labels from sq where i > greatest(round_even(n * 0.8::double, 0) - 2, 0)")
+_COUNTS = _SEQ + """, tr as (select * from sq where i <= round_even(n * 0.8::double, 0)),
+st as (select user_id, labels as next, []::integer[] as state from tr union all select user_id, labels, [p1] from (select *, lag(labels) over (partition by user_id order by i) p1 from tr) where p1 is not null
+  union all select user_id, labels, [p2, p1] from (select *, lag(labels) over (partition by user_id order by i) p1, lag(labels, 2) over (partition by user_id order by i) p2 from tr) where p2 is not null),
+mc as (select user_id, state, next, count(*) cnt from st group by 1, 2, 3), bs as (select user_id, state, next from mc qualify row_number() over (partition by user_id, state order by cnt desc, next) = 1),
+te as (select *, lag(labels) over u p1, lag(labels, 2) over u p2 from sq window u as (partition by user_id order by i)),
+pr as (select te.user_id, te.i, te.labels truth, coalesce(b2.next, b1.next, b0.next, -1) prediction from te left join bs b2 on b2.user_id = te.user_id and b2.state = [p2, p1] left join bs b1 on b1.user_id = te.user_id and b1.state = [p1]
+  left join bs b0 on b0.user_id = te.user_id and len(b0.state) = 0 where te.i > round_even(n * 0.8::double, 0))
+"""
+_text = lambda df: df.withColumn("state", F.concat_ws(",", F.transform("state", lambda x: x.cast("string"))))
+add("pd6_markov_counts", lambda s, d: _text(pd_.markov_counts(pd_.split(coarse(s, d), 0.8)[0], 2)), _COUNTS + "select user_id, array_to_string(state, ',') as state, next, cnt from mc")
+add("pd10_normalize_chain", lambda s, d: rounded(_text(pd_.normalize_chain(pd_.markov_counts(pd_.split(coarse(s, d), 0.8)[0], 2))), "prob"), _COUNTS + "select user_id, array_to_string(state, ',') as state, next, cnt, round(cnt / sum(cnt) over (partition by user_id, state), 6) as prob from mc")
+add("pd7_markov_predict", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2)[0].select("user_id", "i", "truth", "prediction"), _COUNTS + "select user_id, i, truth, prediction from pr")
+add("pd11_markov_accuracy", lambda s, d: rounded(pd_.markov_wrapper(coarse(s, d), 0.2, 2)[1], "accuracy"), _COUNTS + "select user_id, round(avg((truth = prediction)::int), 6) as accuracy from pr group by 1")
+add("pd7_markov_sample", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2, sample=True, seed=3)[0].select("user_id", "i", "truth", "prediction"))
+add("pd9_markov_rollout", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2, online=False)[0].select("user_id", "i", "truth", "prediction"))
+add("pd16_sparse", lambda s, d: rounded(pd_.sparse_wrapper(coarse(s, d))[1], "accuracy"))
+add("pd17_top_loc", lambda s, d: pd_.top_loc(*pd_.split(coarse(s, d), 0.8)).select("user_id", "i", "truth", "prediction"), _COUNTS + "select sq.user_id, sq.i, sq.labels as truth, next as prediction from sq join bs on sq.user_id = bs.user_id and len(state) = 0 where i > round_even(n * 0.8::double, 0)")
+add("pd18_baseline", lambda s, d: rounded(pd_.accuracy(pd_.baseline(pd_.splitter(coarse(s, d), 0.2, 2).where("role = 'test'"))), "accuracy"), _WINDOWS + "select user_id, round(avg((x2 = y)::int), 6) as accuracy from sp where w > v group by 1")
+add("pd19_classifier_search", lambda s, d: rounded(pd_.classifier_search(pd_.splitter(coarse(s, d), 0.2, 2, 3))[1], "accuracy"))
+add("pd21_recurrent_network", lambda s, d: rounded(pd_.deep_pred(pd_.splitter(table(s, d, "symbol_sequences"), 0.2, 4, 1))[1], "accuracy"))
+add("pd23_folds", lambda s, d: pd_.folds(pd_.windows(coarse(s, d), 2), 5).select("user_id", "w", "fold"), _WINDOWS + "select user_id, w, cast(ntile(5) over (partition by user_id order by w) as integer) as fold from ww")
+
+# generators
+_GN = "select u as user_id, to_timestamp(n * 3600) at time zone 'UTC' as datetime, cast({x} as integer) as labels from (select unnest(range(0, 20)) u), (select unnest(range(0, {n})) n)"
+add("gn1_markovian", lambda s, d: gn.markovian_sequences_generator(s, 20, 10, 150, 0.7, 1))
+add("gn1_all_in_turn", lambda s, d: gn.markovian_sequences_generator(s, 20, 10, 150, 1.0, 1), _GN.format(x="n % 10", n=150), "")
+add("gn2_random", lambda s, d: gn.random_sequences_generator(s, 20, 10, 400, 1))
+add("gn3_deterministic", lambda s, d: gn.deterministic_sequences_generator(s, 20, 7, 5), _GN.format(x="n % 7", n=35), "")
+add("gn4_exploratory", lambda s, d: gn.exploratory_sequences_generator(s, 20, 30, 1))
+add("gn5_self_transitions", lambda s, d: gn.self_transitions_sequences_generator(s, 20, 7, 100), _GN.format(x="n // 14", n=98), "")
+add("gn6_non_stationary", lambda s, d: gn.non_stationary_sequences_generator(s, 20, 6, 3, 100, 1))
+
+# the mobility model
+_RANK = ", rk as (select user_id, labels, lon, lat, count(*) n, cast(row_number() over (partition by user_id order by count(*) desc, labels) - 1 as integer) \"rank\" from traj group by 1, 2, 3, 4)\n"
+_HOME = _LAYER + _RANK + """, dd as (select a.user_id, a.lon, a.lat, sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) d from rk a join rk b using (user_id) where a."rank" = 0 and b."rank" = 1)
+"""
+add("mm1_rank_freq", lambda s, d: mm.rank_freq(traj(s, d), 2), _RANK + "select user_id, \"rank\", labels, lon, lat, n from rk where \"rank\" < 2")
+add("mm1_significant_places", lambda s, d: mm.significant_places(mm.rank_freq(traj(s, d), 2)), _RANK + "select user_id, " + ", ".join(f'max({c}) filter ("rank" = {r}) as {c}_{r}' for r in (0, 1) for c in ("lon", "lat")) + " from rk group by 1")
+add("mm3_commute_distances", lambda s, d: rounded(mm.commute_distances(mm.rank_freq(traj(s, d), 3)), "distance"), _RANK + """select a.user_id, a."rank" as rank_a, b."rank" as rank_b, round(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)), 6) as distance from rk a join rk b using (user_id) where a."rank" < b."rank" and b."rank" < 3""")
+add("mm4_commute_density", lambda s, d: rounded(mm.commute_distances_to_2d_distribution(mm.rank_freq(traj(s, d), 2), _layer(s, d))), _HOME + "select cell_id, cx, cy, round(coalesce(m, 0), 6) as value from layer left join (select cell_id, median(d) m from dd join inside using (lon, lat) group by 1) using (cell_id)")
+add("mm5_home_density", lambda s, d: rounded(mm.convert_to_2d_distribution(mm.rank_freq(traj(s, d), 2), _layer(s, d), 0)), _HOME + ", h as (select cell_id, count(*) c from rk join inside using (lon, lat) where \"rank\" = 0 group by 1) select cell_id, cx, cy, round(coalesce(c / (select sum(c) from h), 0), 6) as value from layer left join h using (cell_id)")
+add("mm6_draws", lambda s, d: mm.generate_points_from_distribution(mm.convert_to_2d_distribution(mm.rank_freq(traj(s, d), 2), _layer(s, d), 0), 50, 1))
+_PROFILE = _RANK + """, sl as (select t.user_id, hour(datetime) hod, case when "rank" < 2 then "rank" else 2 end slot, count(*) n from traj t join rk using (user_id, labels) group by 1, 2, 3), sh as (select *, n / sum(n) over (partition by user_id, hod) s from sl),
+gr as (select user_id, cast(a as integer) slot, cast(b as integer) hod from (select distinct user_id from traj), (select unnest(range(0, 3)) a), (select unnest(range(0, 24)) b)),
+pf as (select user_id, slot, hod, coalesce(s, 0) share from gr left join sh using (user_id, slot, hod))
+"""
+_profiles = lambda s, d: mm.circadian_profiles(traj(s, d), mm.rank_freq(traj(s, d), 2))
+add("mm9_profiles", lambda s, d: rounded(_profiles(s, d), "share"), _PROFILE + "select user_id, slot, hod, round(share, 6) as share from pf")
+add("mm9_clusters", lambda s, d: mm.cluster_trajectories(_profiles(s, d)))
+add("mm10_rhythm", lambda s, d: rounded(mm.circadian_rhythm_extraction(_profiles(s, d), us.count_records(traj(s, d)).select("user_id", (F.col("user_id") % 3).cast("int").alias("cluster"))), "share"), _PROFILE + "select cast(user_id % 3 as integer) as cluster, slot, hod, round(avg(share), 6) as share from pf group by 1, 2, 3")
+
+
+def _agents(s: SparkSession, d: str) -> DataFrame:
+    places = mm.significant_places(mm.rank_freq(traj(s, d), 2))
+    return places.select(F.col("user_id").alias("agent_id"), F.col("lon_0").alias("home_lon"), F.col("lat_0").alias("home_lat"), F.col("lon_1").alias("work_lon"), F.col("lat_1").alias("work_lat"))
+
+
+add("mm8_activity_areas", lambda s, d: mm.generate_activity_areas(_agents(s, d), _layer(s, d), 0.5).select("agent_id", F.coalesce(F.array_join(F.transform("cells", lambda x: x.cast("string")), ","), F.lit("")).alias("cells")), _LAYER + _RANK + """, ag as (select user_id, max(lon) filter ("rank" = 0) hx, max(lat) filter ("rank" = 0) hy, max(lon) filter ("rank" = 1) wx, max(lat) filter ("rank" = 1) wy from rk group by 1),
+el as (select *, sqrt((wx - hx) * (wx - hx) + (wy - hy) * (wy - hy)) a from ag), hit as (select user_id, cell_id from el, layer where a > 0 and
+  power(((cx - hx) * (wx - hx) + (cy - hy) * (wy - hy)) / a / a, 2) + power(((cy - hy) * (wx - hx) - (cx - hx) * (wy - hy)) / a / (a * 0.5), 2) <= 1)
+select user_id as agent_id, coalesce(string_agg(cell_id::varchar, ',' order by cell_id), '') as cells from ag left join hit using (user_id) group by 1""")
+add("mm14_simulation", lambda s, d: mm.fit_mobility_model(traj(s, d), _layer(s, d), agents=60, spread=0.5).generate("2024-02-01", 2, 1))
+add("mm18_best_week", lambda s, d: rounded(mm.best_window(traj(s, d)), "empty"), """, h as (select distinct user_id, epoch_us(datetime) // 3600000000 h from traj), g as (select user_id, unnest(range(min(h), max(h) + 1)) h from h group by 1),
+r as (select g.user_id, g.h, avg((h.h is null)::int) over w e, count(*) over w k from g left join h on g.user_id = h.user_id and g.h = h.h window w as (partition by g.user_id order by g.h rows between 167 preceding and current row))
+select user_id, make_timestamp(h * 3600000000) as "end", round(e, 6) as empty from r where k = 168 qualify row_number() over (partition by user_id order by e, h) = 1""")
