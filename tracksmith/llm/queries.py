@@ -10,18 +10,19 @@ from tracksmith.llm.leaks import leaked_items
 from tracksmith.llm.runs import collapse_runs
 from tracksmith.llm.tokens import encode_corpus
 from tracksmith.llm.unify import same_looking_pairs, unified_forms
-from tracksmith.plans.preparation import records
+from tracksmith.plans.preparation import POSITIONS, apart, records
 from tracksmith.sources.tables import table
 
 
 def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of stay records at one place, with count and duration."""
     stays = records(spark, folder).where(F.col("is_stay") & F.col("pos").isNotNull())
-    return collapse_runs(stays, "user_id", F.coalesce("date", "datetime"), "id", F.col("pos.lat"), F.col("pos.lon"), within=5.0)
+    runs = collapse_runs(stays, "user_id", F.coalesce("date", "datetime"), "id", F.col("pos.lat"), F.col("pos.lon"), within=5.0)
+    return runs.select("user_id", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "n")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_runs(spark, folder).select("user_id", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"))
+    return p3_runs(spark, folder).drop("n")
 
 
 def _venues(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -57,4 +58,17 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_venues": p5_venues, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
 
-SQL: dict[str, str] = {}
+_RUNS = (
+    POSITIONS
+    + """, ev as (select user_id, id, la, lo, epoch_us(coalesce("date", datetime)) t from pos where is_stay and la is not null and user_id is not null),
+nx as (select *, lag(la) over w pa, lag(lo) over w po from ev window w as (partition by user_id order by t, id)),
+ch as (select *, case when """
+    + apart("pa", "po", "la", "lo")
+    + """ <= 5 then 0 else 1 end c from nx), ru as (select *, sum(c) over (partition by user_id order by t, id) r from ch)
+select user_id, min(t) // 1000000 as start_s, max(t) // 1000000 as end_s"""
+)
+
+SQL: dict[str, str] = {
+    "p3_found": _RUNS + " from ru group by user_id, r having count(*) >= 2",
+    "p3_runs": _RUNS + ", count(*) as n from ru group by user_id, r having count(*) >= 2",
+}
