@@ -68,6 +68,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_user_totals": p2_user_totals, "p4_found": p4_found, "p6_found": p6_found, "p6_stops_and_trips": p6_stops_and_trips, "p7_found": p7_found}
 
+#: Records with their positions (``la``, ``lo``) in SQL, each id once.
+POSITIONS = r"""
+with raw as (select *, try_cast(regexp_extract(geometry, '(?i)point\s*z?\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)', 1) as double) x,
+  try_cast(regexp_extract(geometry, '(?i)point\s*z?\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)', 2) as double) y from preprocessed_stops_sample),
+how as (select *, case when lat between 10 and 15 and lon between 139 and 144 then 1 when lon between 10 and 15 and lat between 139 and 144 then 2
+  when y between 10 and 15 and x between 139 and 144 then 3 when x between 10 and 15 and y between 139 and 144 then 4 end p from raw),
+pos as (select distinct on (id) id, user_id, datetime, "date", "start" is not null or "end" is not null as is_stay,
+  case p when 1 then lat when 2 then lon when 3 then y when 4 then x end as la, case p when 1 then lon when 2 then lat when 3 then x when 4 then y end as lo from how)
+"""
+_APART = "2 * 6371008.8 * asin(least(1, sqrt(power(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({d} - {b}) / 2), 2))))"
+
+
+def apart(a: str, b: str, c: str, d: str) -> str:
+    """Great-circle distance in SQL between latitude a, longitude b and latitude c, longitude d."""
+    return _APART.format(a=a, b=b, c=c, d=d)
+
+
 SQL = {
     "p1_found": """
 with u as (select distinct user_id, epoch_us("start") s, epoch_us("end") e from preprocessed_stops_sample where user_id is not null and "end" >= "start"),
@@ -89,4 +106,15 @@ with r as (select user_id, case when "end" >= "start" then epoch_us("start") els
 c as (select user_id, a, max(b) b from r group by 1, 2),
 w as (select user_id, max(b) over (partition by user_id order by a) t, lead(a) over (partition by user_id order by a) n from c)
 select user_id, unnest(range(t + 1, n)) as hour from w where n - t - 1 between 1 and 720""",
+    "p7_found": POSITIONS
+    + """, st as (select id, la, lo from pos where is_stay and la is not null),
+rings as (select cell_id, xmin, ymin, xmax, ymax, unnest(regexp_extract_all(geometry, '\\(([^()]+)\\)', 1)) ring from area_layer),
+pts as (select cell_id, xmin, ymin, xmax, ymax, ring, list_transform(string_split(ring, ','), lambda t: string_split(trim(t), ' ')) l from rings),
+edges as (select cell_id, xmin, ymin, xmax, ymax, unnest(range(1, len(l))) i, l from pts),
+sides as (select cell_id, xmin, ymin, xmax, ymax, l[i][1]::double x1, l[i][2]::double y1, l[i + 1][1]::double x2, l[i + 1][2]::double y2 from edges)
+select id, 'cell' as target_kind, cell_id as target_id from st join sides on lo between xmin and xmax and la between ymin and ymax
+where (y1 > la) <> (y2 > la) and lo < (x2 - x1) * (la - y1) / (y2 - y1) + x1 group by id, cell_id having count(*) % 2 = 1
+union all select id, 'landmark', landmark_id from st join landmarks m on m.lat between la - 0.001 and la + 0.001 and m.lon between lo - 0.001 and lo + 0.001 where """
+    + apart("la", "lo", "m.lat", "m.lon")
+    + " <= 100",
 }
