@@ -109,6 +109,19 @@ def accuracy(predictions: DataFrame, extra: int = 0) -> DataFrame:
     return predictions.groupBy("user_id").agg((F.sum((F.col("truth") == F.col("prediction")).cast("int")) / (F.count(F.lit(1)) + extra)).alias("accuracy"))
 
 
+def _cogrouped(train: DataFrame, test: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over both sequences of each user that has both. New names keep apart columns that come from one table."""
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            known = left if len(left) else right
+            return pd.DataFrame({"user_id": known["user_id"][:0], "i": pd.Series([], dtype="int32"), "prediction": pd.Series([], dtype="int32")})
+        return run(left, right)
+
+    left, right = (df.select(*(F.col(c).alias(c) for c in ("user_id", "i", "labels"))).groupBy("user_id") for df in (train, test))
+    return left.cogroup(right).applyInPandas(both, schema)
+
+
 def markov_rollout(counts_of: DataFrame, test: DataFrame, state_size: int, update: bool = False) -> DataFrame:
     """PD9: predictions that go on from themselves, starting at the end of the training sequence.
 
@@ -117,8 +130,6 @@ def markov_rollout(counts_of: DataFrame, test: DataFrame, state_size: int, updat
     kind = dict(counts_of.dtypes)["user_id"]
 
     def run(train: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        if not len(ahead):
-            return pd.DataFrame({"user_id": [], "i": [], "prediction": []})
         past, ahead = train.sort_values("i")["labels"].tolist(), ahead.sort_values("i").iloc[state_size:]
         seen: dict[tuple, Counter] = defaultdict(Counter)
         learn = lambda k: [seen[tuple(past[k - o : k])].update([past[k]]) for o in range(min(state_size, k) + 1)]
@@ -135,7 +146,7 @@ def markov_rollout(counts_of: DataFrame, test: DataFrame, state_size: int, updat
                 learn(len(past) - 1)
         return pd.DataFrame({"user_id": ahead["user_id"], "i": ahead["i"], "prediction": out})
 
-    guesses = counts_of.select("user_id", "i", "labels").groupBy("user_id").cogroup(test.select("user_id", "i", "labels").groupBy("user_id")).applyInPandas(run, f"user_id {kind}, i int, prediction int")
+    guesses = _cogrouped(counts_of, test, run, f"user_id {kind}, i int, prediction int")
     return test.select("user_id", "i", "datetime", F.col("labels").alias("truth")).join(guesses, ["user_id", "i"])
 
 
@@ -220,7 +231,7 @@ def sparse_wrapper(df: DataFrame, test_size: float = 0.2, max_length: int | None
             past.append(truth)
         return pd.DataFrame({"user_id": ahead["user_id"], "i": ahead["i"], "prediction": out})
 
-    guesses = train.select("user_id", "i", "labels").groupBy("user_id").cogroup(test.select("user_id", "i", "labels").groupBy("user_id")).applyInPandas(run, f"user_id {kind}, i int, prediction int")
+    guesses = _cogrouped(train, test, run, f"user_id {kind}, i int, prediction int")
     found = test.select("user_id", "i", "datetime", F.col("labels").alias("truth")).join(guesses, ["user_id", "i"])
     return found, accuracy(found)
 
@@ -292,7 +303,7 @@ def classifier_search(frame: DataFrame, algorithm: Callable = NearestWindows, sp
         test = pdf[pdf["role"] == "test"].sort_values("w")
         learn = pdf[pdf["role"] != "test"].drop_duplicates("w").sort_values("w")
         if not len(test) or not len(learn):
-            return pd.DataFrame({"user_id": [], "i": [], "truth": [], "prediction": []})
+            return pd.DataFrame({"user_id": pdf["user_id"][:0], **{c: pd.Series([], dtype="int32") for c in ("i", "truth", "prediction")}})
         scores = []
         for s in settings:
             hits = []

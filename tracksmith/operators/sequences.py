@@ -252,7 +252,7 @@ def _cogroup(train: DataFrame, test: DataFrame, kernel) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"user_id": [], "c": []})
+            return pd.DataFrame({"user_id": pd.Series([], dtype=left["user_id"].dtype if len(left) else right["user_id"].dtype), "c": pd.Series([], dtype=float)})
         return pd.DataFrame({"user_id": [left["user_id"].iloc[0]], "c": [float(kernel(left.sort_values("i")["labels"].tolist(), right.sort_values("i")["labels"].tolist()))]})
 
     kind = dict(train.dtypes)["user_id"]

@@ -205,7 +205,7 @@ class ClusteringAggregator:
 def centroid(ring: Column) -> Column:
     """G4: centre of area of an open ring ``array<struct<x,y>>``."""
     pairs = F.arrays_zip(ring.alias("p"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("q"))
-    parts = F.transform(pairs, lambda e: F.struct((e["0"]["x"] * e["1"]["y"] - e["1"]["x"] * e["0"]["y"]).alias("a"), (e["0"]["x"] + e["1"]["x"]).alias("sx"), (e["0"]["y"] + e["1"]["y"]).alias("sy")))
+    parts = F.transform(pairs, lambda e: F.struct((e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]).alias("a"), (e["p"]["x"] + e["q"]["x"]).alias("sx"), (e["p"]["y"] + e["q"]["y"]).alias("sy")))
     add = lambda f: F.aggregate(parts, F.lit(0.0), lambda s, e: s + f(e))
     area = add(lambda e: e["a"])
     return F.struct((add(lambda e: e["sx"] * e["a"]) / (3 * area)).alias("x"), (add(lambda e: e["sy"] * e["a"]) / (3 * area)).alias("y"))
