@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,20 +88,35 @@ _TOKEN = re.compile("(?:[^\\W\\d_]|[̀-ͯ])+")
 _ASCII_TOKEN = re.compile("[A-Za-z]+")
 
 
+_SPECIAL = re.compile("[" + re.escape("".join(map(chr, _PLAIN))) + "]")
+_FOLDED = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
+
+
+def _by_line(text: str, form) -> str:
+    """A form of the lines that are not ASCII; no form reaches over the end of a line."""
+    return "\n".join([line if line.isascii() else form(line) for line in text.split("\n")])
+
+
+def _plain_line(line: str) -> str:
+    return unicodedata.normalize("NFC", _SPECIAL.sub(lambda m: _PLAIN[ord(m[0])] or "", line))
+
+
+def _folded_line(line: str) -> str:
+    nfd = unicodedata.normalize("NFD", _SPECIAL.sub(lambda m: _PLAIN[ord(m[0])] or "", line))
+    return unicodedata.normalize("NFC", _FOLDED.sub(lambda m: _FOLD[ord(m[0])], nfd))
+
+
 def plain(text: str) -> str:
     """One width, one kind of space, nothing invisible, accents composed (NFC)."""
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFC", text.translate(_PLAIN))
+    return text if text.isascii() else _by_line(text, _plain_line)
 
 
 def folded(text: str) -> str:
     """``plain`` with every look-alike letter as the Latin one, whatever its token: for comparisons, not for reading."""
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(_PLAIN)).translate(_FOLD))
+    return text if text.isascii() else _by_line(text, _folded_line)
 
 
+@lru_cache(maxsize=None)
 def script_of(c: str) -> int | None:
     """Script of a letter that has no look-alike, of the three scripts in question; else nothing."""
     if c in _ALIKE:
@@ -191,7 +207,9 @@ def _scan(keep_text: bool):
                     found = [(t, r) for _, _, t, r in repairs(form)]
                     results = sorted({r for _, r in found}) or None
                     words.update((r, t) for t, r in found)
-                    seen.update(_TOKEN.findall(form))
+                    lines = form.split("\n")
+                    seen.update(_ASCII_TOKEN.findall("\n".join([line for line in lines if line.isascii()])))
+                    seen.update(_TOKEN.findall("\n".join([line for line in lines if not line.isascii()])))
                 raw = _digest(text)
                 rows.append((i, raw, raw if form is text else _digest(form), not form.strip(), form if keep_text or results else None, results, None))
             words.update((t, t) for t in seen)
