@@ -140,6 +140,7 @@ def dominant(nfd: str) -> int | None:
     return min(count, key=lambda s: (-count[s], s)) if count else None
 
 
+@lru_cache(maxsize=200_000)
 def repaired(token: str, otherwise: int) -> str:
     """The token with its look-alikes in its dominant script, or in ``otherwise`` if no letter tells that."""
     nfd = unicodedata.normalize("NFD", token)
