@@ -256,12 +256,13 @@ class NearestWindows:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = []
-        for row in np.asarray(x):
-            order = np.argsort(-(self.x == row).sum(1), kind="stable")[: self.k]
-            values, counts = np.unique(self.y[order], return_counts=True)
-            out.append(values[np.argmax(counts)])
-        return np.array(out)
+        alike = (np.asarray(x)[:, None, :] == self.x[None]).sum(2)
+        order = np.argsort(-alike, axis=1, kind="stable")[:, : self.k]
+        # votes by symbol; a tie goes to the smallest
+        symbols, at = np.unique(self.y, return_inverse=True)
+        votes = np.zeros((len(order), len(symbols)), np.int64)
+        np.add.at(votes, (np.arange(len(order))[:, None], at[order]), 1)
+        return symbols[votes.argmax(1)]
 
 
 class CountingBayes:
@@ -300,21 +301,23 @@ def classifier_search(frame: DataFrame, algorithm: Callable = NearestWindows, sp
     kind = dict(frame.dtypes)["user_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = pdf[pdf["role"] == "test"].sort_values("w")
-        learn = pdf[pdf["role"] != "test"].drop_duplicates("w").sort_values("w")
+        w, y, role, fold = (pdf[c].to_numpy() for c in ("w", "y", "role", "fold"))
+        x = pdf[xs].to_numpy()
+        at = np.nonzero(role == "test")[0]
+        test = at[np.argsort(w[at])]
+        before = np.nonzero(role != "test")[0]
+        learn = before[np.unique(w[before], return_index=True)[1]]
         if not len(test) or not len(learn):
             return pd.DataFrame({"user_id": pdf["user_id"][:0], **{c: pd.Series([], dtype="int32") for c in ("i", "truth", "prediction")}})
+        parts = [(np.nonzero((fold == f) & (role == "train"))[0], np.nonzero((fold == f) & (role == "val"))[0]) for f in np.unique(fold[before])]
+        parts = [(a, b) for a, b in parts if len(a) and len(b)] if len(settings) > 1 else []
         scores = []
         for s in settings:
-            hits = []
-            for _, fold in pdf[pdf["fold"] > 0].groupby("fold"):
-                a, b = fold[fold["role"] == "train"], fold[fold["role"] == "val"]
-                if len(a) and len(b):
-                    hits += (algorithm(**s).fit(a[xs].to_numpy(), a["y"].to_numpy()).predict(b[xs].to_numpy()) == b["y"].to_numpy()).tolist()
-            scores.append(sum(hits) / len(hits) if hits else 0.0)
+            hits = [algorithm(**s).fit(x[a], y[a]).predict(x[b]) == y[b] for a, b in parts]
+            scores.append(np.concatenate(hits).mean() if hits else 0.0)
         best = settings[int(np.argmax(scores))]
-        guess = algorithm(**best).fit(learn[xs].to_numpy(), learn["y"].to_numpy()).predict(test[xs].to_numpy())
-        return pd.DataFrame({"user_id": test["user_id"], "i": test["w"], "truth": test["y"], "prediction": guess})
+        guess = algorithm(**best).fit(x[learn], y[learn]).predict(x[test])
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "i": w[test], "truth": y[test], "prediction": guess})
 
     found = frame.select("user_id", "w", *xs, "y", "role", "fold").groupBy("user_id").applyInPandas(run, f"user_id {kind}, i int, truth int, prediction int")
     return found, accuracy(found)
