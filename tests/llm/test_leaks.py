@@ -48,3 +48,9 @@ def test_written_with_other_characters(spark):
 def test_empty(spark):
     assert run(spark, [], [(1, "a b c d e f g h i j k l m n")]) == []
     assert run(spark, [(1, "a b c d e f g h i j k l m n")], []) == []
+
+
+def test_rows_without_id_and_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    long = "filler w3 w4 " * 200_000 + item + " end " * 1000
+    assert run(spark, [(1, long), (None, item), (2, item + "x")], [(7, item), (None, item)]) == [(1, 7), (2, 7)]

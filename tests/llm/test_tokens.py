@@ -40,3 +40,10 @@ def test_same_ids_as_the_other_library():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc long, body string")
     assert encode_corpus(df, "doc", "body").collect() == []
+
+
+def test_rows_without_id_and_very_long_text(spark):
+    long = ("the quick brown fox, 42 times\n" * 40_000) + "日本語" * 5_000
+    df = spark.createDataFrame([(1, long), (None, "x"), (2, "y")], "doc long, body string")
+    got = {r["doc"]: r["ids"] for r in encode_corpus(df, "doc", "body").collect()}
+    assert got == {1: encoder(TOKENIZERS, "byte_bpe_50k").encode_ordinary(long), 2: encoder(TOKENIZERS, "byte_bpe_50k").encode_ordinary("y")}

@@ -58,3 +58,9 @@ def test_empty(spark):
     assert pairs(spark, []) == []
     got = unified_forms(frame(spark, [(1, None), (2, "")]), "doc", "body").collect()
     assert {r["doc"]: (r["blank"], r["form"] is None) for r in got} == {1: (True, True), 2: (True, False)}
+
+
+def test_rows_without_id_and_very_long_text(spark):
+    long = "the local cache naïve\n" * 60_000
+    docs = [(1, long), (2, long.replace("cache", "сache", 1)), (None, "the сache"), (None, "the cache"), (3, "the cache"), (4, "the cаche")]
+    assert pairs(spark, docs) == [(1, 2), (3, 4)]

@@ -99,7 +99,7 @@ def encode_corpus(
 ) -> DataFrame:
     """Token ids of every text without special tokens: ``doc_id, ids`` (array of int).
 
-    Null and empty texts both have an empty array. ``doc_id`` is an integer and unique; an empty table gives no rows.
+    Null and empty texts both have an empty array. ``doc_id`` is an integer and unique; rows without it are left out; an empty table gives no rows.
     Other columns are ignored, whatever their names.
 
     A text of at most ``chunk`` characters is encoded where it is read. A longer one is cut into chunks that overlap
@@ -108,7 +108,7 @@ def encode_corpus(
     pieces between such places are encoded in parallel and their ids put together by text. From a chunk on that has no
     such place (a word longer than the overlap), the rest of that text stays one piece, so the ids are exact.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull())
     length = F.coalesce(F.length("t"), F.lit(0))
     done = rows.where(length <= chunk).mapInArrow(_encode(folder, name, ["id", "ids"]), "id long, ids array<int>")
     slices = materialize(rows.where(length > chunk).mapInArrow(_slices(chunk, overlap), "id long, k long, is_last boolean, t string").repartition("id", "k"), "chunks")

@@ -267,11 +267,11 @@ def unified_forms(df: DataFrame, doc_id: str, text: str, keep_text: bool = False
 def same_looking_pairs(forms: DataFrame, doc_id: str) -> DataFrame:
     """Pairs of texts that differ but have one form: ``doc_id_a, doc_id_b``, smaller id first.
 
-    Blank and null texts are never in a pair. Works on classes of equal texts: forms written in more than one way are
+    Blank and null texts, and texts without id, are never in a pair. Works on classes of equal texts: forms written in more than one way are
     found by their least and greatest spelling, spellings are paired, and only then the documents of each are put in,
     so equal texts are never compared with each other.
     """
-    there = forms.where(~F.col("blank")).select(F.col(doc_id).alias("id"), "raw", "form")
+    there = materialize(forms.where(~F.col("blank") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), "raw", "form"), "digests")
     several = there.groupBy("form").agg(F.min("raw").alias("a"), F.max("raw").alias("z")).where(F.col("a") != F.col("z")).select("form")
     members = materialize(there.join(several, "form", "left_semi").dropDuplicates(["id", "raw"]), "alike")
     spellings = members.select("form", "raw").distinct()
