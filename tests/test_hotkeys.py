@@ -29,3 +29,9 @@ def test_heavy_keys_count_all_rows(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)] + [(None,)] * 97, "k string")
     assert [tuple(r) for r in heavy_keys(df, "k", 0.02).collect()] == [("a", 2)]
     assert heavy_keys(df.where("k = 'z'"), "k", 0.02).collect() == []
+
+
+def test_an_exact_share_counts(spark):
+    for total in (50, 350, 650, 1150):
+        df = spark.range(total).selectExpr(f"case when id < {total // 50} then 1 else 2 end as k")
+        assert sorted(r["k"] for r in heavy_keys(df, "k", 0.02).collect()) == [1, 2]

@@ -134,5 +134,9 @@ def test_model_end_to_end(spark):
     assert moves.count() == len(agents) * 49 and moves.where("lon is null or lat is null").count() == 0
     shares = mm.cluster_shares(mm.cluster_trajectories(mm.circadian_profiles(df, mm.rank_freq(df)))).collect()
     assert abs(sum(r["share"] for r in shares) - 1) < 1e-9
-    counted = mm.commuting_candidates(model.agents.select("agent_id", F.lit(0).cast("long").alias("cell_id"), F.col("home_lon").alias("lon"), F.col("home_lat").alias("lat")), mm.convert_to_2d_distribution(mm.rank_freq(df), layer, 1), mm.commute_distances_to_2d_distribution(mm.rank_freq(df), layer).withColumn("value", F.lit(600.0)), 0.5)
-    assert counted.where("n < 1").count() == 0
+    homes = model.agents.select("agent_id", F.lit(0).cast("long").alias("cell_id"), F.col("home_lon").alias("lon"), F.col("home_lat").alias("lat"))
+    works = mm.convert_to_2d_distribution(mm.rank_freq(df), layer, 1)
+    found = mm.commuting_candidates(homes, works, works.select("cell_id", F.lit(600.0).alias("value")), 0.5).collect()
+    cells = [r for r in works.collect() if r["value"] > 0]
+    want = sorted((h["agent_id"], c["cell_id"]) for h in homes.collect() for c in cells if 300 <= math.hypot(h["lon"] - c["cx"], h["lat"] - c["cy"]) <= 900)
+    assert sorted(map(tuple, found)) == want and want

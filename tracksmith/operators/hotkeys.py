@@ -111,4 +111,5 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """Keys (not null) that hold at least ``share`` of all rows, rows without key counted in the total: ``key, n``."""
     totals = key_totals(df, key)
     rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    return totals.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(share) * rows))
+    # the quotient is rounded to the nearest double, as the constant is, so an exact share counts
+    return totals.where(F.col(key).isNotNull() & (F.col("n") / rows >= share))

@@ -121,34 +121,42 @@ def select_points_with_commuting(homes: DataFrame, works: DataFrame, commuting:
     return left.groupBy("cluster").cogroup(right.groupBy("cluster")).applyInPandas(run, "cluster int, agent_id long, cell_id long, lon double, lat double")
 
 
+def _within_reach(asked: DataFrame, x: str, y: str, reach: Column, cells: DataFrame) -> DataFrame:
+    """Rows of ``asked`` with the cells (``cell_id, cx, cy``) that may lie within ``reach`` of (x, y): an equi-join over squares.
+
+    The squares of a row have the side 2^k that its reach just fits in, so 3 x 3 of them hold what is within reach.
+    """
+    sized = asked.where(reach.isNotNull()).withColumn("_k", F.ceil(F.log2(F.greatest(reach, F.lit(1e-9)))).cast("int"))
+    sizes = [r[0] for r in sized.select("_k").distinct().collect()]  # one per power of two
+    square = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_k"))).cast("long")
+    around = F.explode(F.array(*(F.struct((square(x) + a).alias("i"), (square(y) + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    sizes_array = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")
+    laid = cells.select("cell_id", "cx", "cy", F.explode(sizes_array).alias("_k")).withColumns({"_i": square("cx"), "_j": square("cy")})
+    return sized.withColumn("_s", around).withColumns({"_i": F.col("_s.i"), "_j": F.col("_s.j")}).join(laid, ["_k", "_i", "_j"]).drop("_k", "_i", "_j", "_s")
+
+
 def commuting_candidates(homes: DataFrame, works: DataFrame, commuting: DataFrame, spread: float | None = 0.05) -> DataFrame:
-    """MM7 without the draw: how many weighted cells each home could commute to: ``agent_id, n``."""
-    asked = homes.select("agent_id", F.col("cell_id").alias("home"), F.col("lon").alias("hx"), F.col("lat").alias("hy")).join(commuting.select(F.col("cell_id").alias("home"), F.col("value").alias("around")), "home")
-    target = F.broadcast(works.where("value > 0").select("cx", "cy"))
-    fits = in_annulus(planar(F.col("hx"), F.col("hy"), F.col("cx"), F.col("cy")), F.col("around"), spread)
-    return asked.join(target, fits).groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"))
+    """MM7 without the draw: the weighted cells that each home could commute to: ``agent_id, work_id``.
+
+    ``homes`` has ``agent_id, cell_id, lon, lat``; ``works`` and ``commuting`` have ``cell_id, value``.
+    """
+    around = commuting.select(F.col("cell_id").alias("home"), F.col("value").alias("around"))
+    asked = homes.select("agent_id", F.col("cell_id").alias("home"), F.col("lon").alias("hx"), F.col("lat").alias("hy")).join(around, "home")
+    reach = F.col("around") * (1.01 if spread is None else 1 + spread)
+    near = _within_reach(asked, "hx", "hy", reach, works.where("value > 0"))
+    return near.where(in_annulus(planar(F.col("hx"), F.col("hy"), F.col("cx"), F.col("cy")), F.col("around"), spread)).select("agent_id", F.col("cell_id").alias("work_id"))
 
 
 def generate_activity_areas(agents: DataFrame, layer: DataFrame, spread: float = 0.5, kind: str = "ellipse") -> DataFrame:
     """MM8: the cells whose centre lies in the ellipse of home and work: ``agent_id, cells`` (array).
 
-    ``agents`` has ``agent_id, home_lon, home_lat, work_lon, work_lat``. Cells are matched over squares as large as the
-    agent's reach, so only those around an agent are tested.
+    ``agents`` has ``agent_id, home_lon, home_lat, work_lon, work_lat``; without work there are no cells.
     """
     if kind != "ellipse":
         raise ValueError("only 'ellipse' is known")
-    h, w = ("home_lon", "home_lat"), ("work_lon", "work_lat")
-    reach = planar(*(F.col(c) for c in (*h, *w)))
-    # squares of a size of 2^k at least the reach; 3 x 3 of them hold the ellipse
-    sized = agents.where(reach.isNotNull()).withColumn("_k", F.ceil(F.log2(F.greatest(reach, F.lit(1e-9)))).cast("int"))
-    sizes = [r[0] for r in sized.select("_k").distinct().collect()]  # one per power of two
-    square = lambda c, k: F.floor(F.col(c) / F.pow(F.lit(2.0), k)).cast("long")
-    around = F.explode(F.array(*(F.struct((square(h[0], F.col("_k")) + a).alias("i"), (square(h[1], F.col("_k")) + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    asked = sized.withColumn("_s", around).select("agent_id", *h, *w, "_k", F.col("_s.i").alias("_i"), F.col("_s.j").alias("_j"))
-    sizes_array = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")
-    cells = layer.select("cell_id", "cx", "cy", F.explode(sizes_array).alias("_k")).withColumns({"_i": square("cx", F.col("_k")), "_j": square("cy", F.col("_k"))})
-    inside = in_ellipse(F.col("cx"), F.col("cy"), *(F.col(c) for c in (*h, *w)), spread)
-    found = asked.join(cells, ["_k", "_i", "_j"]).where(inside).groupBy("agent_id").agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
+    ends = [F.col(c) for c in ("home_lon", "home_lat", "work_lon", "work_lat")]
+    near = _within_reach(agents.select("agent_id", "home_lon", "home_lat", "work_lon", "work_lat"), "home_lon", "home_lat", planar(*ends) * max(1.0, spread), layer)
+    found = near.where(in_ellipse(F.col("cx"), F.col("cy"), *ends, spread)).groupBy("agent_id").agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
     return agents.select("agent_id").join(found, "agent_id", "left")
 
 

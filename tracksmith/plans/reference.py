@@ -278,7 +278,11 @@ _DENSE = """, ru as (select user_id, d, i - row_number() over (partition by user
 add("im26_dense", lambda s, d: rounded(sq.repeatability_dense(*halves(s, d))), _HALVES + _DENSE + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join cc using (user_id)")
 add("im26_dense_kernel", lambda s, d: rounded(sq.repeatability_dense(*halves(s, d), max_pairs=0)), _HALVES + _DENSE + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join cc using (user_id)")
 add("im26_dense_compat", lambda s, d: rounded(sq.repeatability_dense(*halves(s, d), compat=True)), _HALVES + _DENSE + "select user_id, round(coalesce(c, 0) - 1 / n - 1, 6) as value from tn left join cc using (user_id)")
-add("im27_sparse", lambda s, d: rounded(sq.repeatability_sparse(*halves(s, d))))
+add("im27_sparse", lambda s, d: rounded(sq.repeatability_sparse(*halves(s, d))), _HALVES + """, ab as (select user_id, a, b, len(b) m from (select user_id, list(labels order by i) a from tr group by 1) join (select user_id, list(labels order by i) b from te group by 1) using (user_id)),
+lc as (with recursive lc as (select user_id, a, b, m, 0 i, list_transform(b, lambda s: 0) as r from ab union all
+  select user_id, a, b, m, i + 1, list_transform(range(1, m + 1), lambda k: list_max(c[1:k])) from (select *, list_transform(range(1, m + 1), lambda j: greatest(r[j], case when b[j] = a[i + 1] then case when j = 1 then 0 else r[j - 1] end + 1 else 0 end)) c from lc where i < len(a)))
+  select user_id, r[m] c from lc where i = len(a))
+select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join lc using (user_id)""")
 add("im28_equally_sparse", lambda s, d: rounded(sq.repeatability_equally_sparse(*halves(s, d))), _HALVES + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join (select user_id, max(c) c from (select user_id, count(*) c from dg group by user_id, d) group by 1) using (user_id)")
 add("im29_global_alignment", lambda s, d: rounded(sq.global_alignment(*halves(s, d))))
 add("im30_iterative_alignment", lambda s, d: rounded(sq.iterative_global_alignment(*halves(s, d))))
@@ -356,3 +360,62 @@ add("mm14_simulation", lambda s, d: mm.fit_mobility_model(traj(s, d), _layer(s,
 add("mm18_best_week", lambda s, d: rounded(mm.best_window(traj(s, d)), "empty"), """, h as (select distinct user_id, epoch_us(datetime) // 3600000000 h from traj), g as (select user_id, unnest(range(min(h), max(h) + 1)) h from h group by 1),
 r as (select g.user_id, g.h, avg((h.h is null)::int) over w e, count(*) over w k from g left join h on g.user_id = h.user_id and g.h = h.h window w as (partition by g.user_id order by g.h rows between 167 preceding and current row))
 select user_id, make_timestamp(h * 3600000000) as "end", round(e, 6) as empty from r where k = 168 qualify row_number() over (partition by user_id order by e, h) = 1""")
+
+# further shapes, sinks and helpers
+from tracksmith.operators.prediction import split_input_target  # noqa: E402
+from tracksmith.sources.layers import layer as polygon_layer  # noqa: E402
+from tracksmith.storage import shared_dir  # noqa: E402
+
+
+def _written(s: SparkSession, d: str, how: str) -> str:
+    """A folder of the session that the trajectory has just been written to."""
+    path = f"{shared_dir(s)}/tracksmith-{s.sparkContext.applicationId}/{how}"
+    t = Trajectories.from_df(traj(s, d), crs="EPSG:3857")
+    {"parquet": t.write_parquet, "csv": t.write_csv, "wkt": t.write_wkt}[how](path, "overwrite")
+    return path
+
+
+add("io3_io4_parquet", lambda s, d: Trajectories.read_parquet(s, _written(s, d, "parquet")).df.select("user_id", "datetime", "lon", "lat", "labels"), "select user_id, datetime, lon, lat, labels from traj")
+add("io5_wkt", lambda s, d: s.read.option("header", True).schema("user_id long, datetime string, lon double, lat double, seq long, labels int, v double, geometry string").csv(_written(s, d, "wkt")).select("seq", "datetime", "geometry"),
+    "select seq, strftime(datetime, '%Y-%m-%d %H:%M:%S') as datetime, 'POINT (' || lon || ' ' || lat || ')' as geometry from traj")
+add("io6_csv", lambda s, d: s.read.option("header", True).schema("user_id long, datetime timestamp_ntz, lon double, lat double, seq long, labels int, v double").csv(_written(s, d, "csv")).select("user_id", "seq", "lon", "labels"), "select user_id, seq, lon, labels from traj")
+add("io7_layer", lambda s, d: rounded(polygon_layer(table(s, d, "area_layer"), "cell_id", "geometry").select("cell_id", "xmin", "ymin", "xmax", "ymax", "cx", "cy"), "xmin", "ymin", "xmax", "ymax", "cx", "cy"), """
+with rings as (select cell_id, regexp_extract_all(geometry, '\\(([^()]+)\\)', 1) rs from area_layer), r as (select cell_id, unnest(range(1, len(rs) + 1)) k, rs from rings),
+p as (select cell_id, k, list_transform(string_split(rs[k], ','), lambda t: string_split(trim(t), ' ')) l from r), e as (select cell_id, k, unnest(range(1, len(l))) i, l from p),
+q as (select cell_id, k, l[i][1]::double x1, l[i][2]::double y1, l[i + 1][1]::double x2, l[i + 1][2]::double y2 from e),
+a as (select cell_id, k, sum(x1 * y2 - x2 * y1) a, sum((x1 * y2 - x2 * y1) * (x1 + x2)) sx, sum((x1 * y2 - x2 * y1) * (y1 + y2)) sy, min(x1) x0, max(x1) x9, min(y1) y0, max(y1) y9 from q group by 1, 2),
+g as (select *, sign(a) * case when k = 1 then 1 else -1 end s from a)
+select cell_id, round(min(x0), 6) as xmin, round(min(y0), 6) as ymin, round(max(x9), 6) as xmax, round(max(y9), 6) as ymax, round(sum(s * sx) / (3 * sum(s * a)), 6) as cx, round(sum(s * sy) / (3 * sum(s * a)), 6) as cy from g group by 1""", "")
+add("sc6_mask", lambda s, d: Trajectories.from_df(traj(s, d)).where((F.col("v") > 60) & (F.col("labels") % 2 == 0)).df.select("user_id", "seq"), "select user_id, seq from traj where v > 60 and labels % 2 = 0")
+
+
+def _box_ring(s: SparkSession, d: str) -> DataFrame:
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return _layer(s, d).withColumn("c", sp.centroid(F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))))
+
+
+add("g4_centroid", lambda s, d: rounded(_box_ring(s, d).select("cell_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy")), "cx", "cy"), _LAYER + "select cell_id, round(cx, 6) as cx, round(cy, 6) as cy from layer")
+add("g7_annulus", lambda s, d: traj(s, d).where(sp.in_annulus(F.hypot("lon", "lat"), F.lit(5000.0), 0.2)).select("user_id", "seq"), "select user_id, seq from traj where sqrt(lon * lon + lat * lat) between 4000 and 6000")
+add("g8_ellipse", lambda s, d: traj(s, d).where(sp.in_ellipse(F.col("lon"), F.col("lat"), *(F.lit(v) for v in (2000.0, 2000.0, 7000.0, 5000.0)), 0.5)).select("user_id", "seq"),
+    "select user_id, seq from traj where power(((lon - 2000) * 5000 + (lat - 2000) * 3000) / 34000000.0, 2) + power(((lat - 2000) * 5000 - (lon - 2000) * 3000) / 17000000.0, 2) <= 1")
+add("pr4_average", lambda s, d: rounded(us.per_user(traj(s, d), "v", "avg")), "select user_id, round(avg(v), 6) as value from traj group by 1")
+add("im20_fano", lambda s, d: us.count_records(traj(s, d)).select("user_id", F.round(sq.fano(F.col("value"), F.log2(F.col("value")) / 2), 6).alias("predictability")), """
+, q as (select user_id, count(*)::double n, log2(count(*)) / 2 s from traj group by 1), f as (with recursive f as (select *, 1 / n lo, 1.0::double hi, 0 k from q union all select user_id, n, s, case when g > s then x else lo end, case when g > s then hi else x end, k + 1
+  from (select *, (lo + hi) / 2 x, -((lo + hi) / 2 * log2((lo + hi) / 2) + (1 - (lo + hi) / 2) * log2(greatest(1 - (lo + hi) / 2, 1e-300))) + (1 - (lo + hi) / 2) * log2(greatest(n - 1, 1)) g from f where k < 60)) select * from f where k = 60)
+select user_id, round(case when n <= 1 then 1 else (lo + hi) / 2 end, 6) as predictability from f""")
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    arrays = pd_.sequence(coarse(s, d)).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "labels"))), lambda x: x["labels"]).alias("a"))
+    first, last = split_input_target(F.col("a"))
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return arrays.select("user_id", text(first).alias("x"), text(last).alias("y"))
+
+
+add("pd24_input_target", _chunks, _SEQ + "select user_id, string_agg(labels::varchar, ',' order by i) filter (i < n) as x, string_agg(labels::varchar, ',' order by i) filter (i > 1) as y from sq group by 1")
+add("mm7_candidates", lambda s, d: mm.commuting_candidates(_agents(s, d).select("agent_id", F.lit(0).cast("long").alias("cell_id"), F.col("home_lon").alias("lon"), F.col("home_lat").alias("lat")),
+    _layer(s, d).withColumn("value", (F.col("cell_id") % 3).cast("double")), s.range(1).select(F.col("id").alias("cell_id"), F.lit(3000.0).alias("value")), 0.3),
+    _LAYER + _RANK + "select user_id as agent_id, cell_id as work_id from rk, layer where \"rank\" = 0 and cell_id % 3 > 0 and sqrt((lon - cx) * (lon - cx) + (lat - cy) * (lat - cy)) between 2100 and 3900")
+add("mm15_when", lambda s, d: rounded(mm.when(mm.circadian_rhythm_extraction(_profiles(s, d), us.count_records(traj(s, d)).select("user_id", (F.col("user_id") % 3).cast("int").alias("cluster")))), "s0", "s1", "s2"), _PROFILE + "select cast(user_id % 3 as integer) as cluster, hod, " + ", ".join(f"round(avg(share) filter (slot = {k}), 6) as s{k}" for k in range(3)) + " from pf group by 1, 2")
+add("mm16_where", lambda s, d: _agents(s, d).select("agent_id", F.explode(F.array(*map(F.lit, range(3)))).alias("slot"), "home_lon", "work_lon").select("agent_id", "slot", mm.where(F.col("slot"), F.col("home_lon"), F.col("work_lon"), F.lit(None).cast("double")).alias("lon")),
+    _RANK + "select user_id as agent_id, slot, case slot when 1 then coalesce(max(lon) filter (\"rank\" = 1), max(lon) filter (\"rank\" = 0)) else max(lon) filter (\"rank\" = 0) end as lon from rk, (select unnest([0, 1, 2]) slot) group by 1, 2")
