@@ -11,6 +11,8 @@ from tracksmith.functions.geo import EARTH_RADIUS_M, STUDY_AREA, haversine
 from tracksmith.storage import materialize
 
 DEGREE_M = math.pi / 180 * EARTH_RADIUS_M
+#: Parts of a cell's side at the last step but the points themselves.
+FINEST = 16
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -55,11 +57,15 @@ class Cells:
         #: Points within reach lie at most so many cells apart on either axis.
         self.span = max(math.ceil(reach / side), math.ceil(reach / narrow))
 
+    def _place(self, offset: Column, size: float, parts: int) -> Column:
+        # always from the finest parts, so that a point on an edge lies in one cell at every size
+        return F.floor(F.floor(offset / (size / FINEST)) / (FINEST // parts)).cast("long")
+
     def x(self, lon: Column, parts: int = 1) -> Column:
-        return F.floor((lon - self.area[2]) / (self.dx / parts)).cast("long")
+        return self._place(lon - self.area[2], self.dx, parts)
 
     def y(self, lat: Column, parts: int = 1) -> Column:
-        return F.floor((lat - self.area[0]) / (self.dy / parts)).cast("long")
+        return self._place(lat - self.area[0], self.dy, parts)
 
     def apart(self, ax: Column, ay: Column, bx: Column, by: Column, parts: int) -> Column:
         """No two points of two cells are nearer than this (metres; a little less to be safe)."""
@@ -104,7 +110,7 @@ def linked_cells(points: DataFrame, cells: Cells) -> DataFrame:
     open_pairs = materialize(candidate_cells(occupied, cells.span).where(cells.apart(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), 1) <= cells.reach), "candidates")
     linked = None
     key = ["ax", "ay", "bx", "by"]
-    for parts in (4, 16):
+    for parts in (4, FINEST):
         seen = points.groupBy(*at(parts)).agg(F.min(F.struct("lat", "lon")).alias("w")).select(F.floor(F.col("px") / parts).cast("long").alias("x"), F.floor(F.col("py") / parts).cast("long").alias("y"), "px", "py", "w")
         a = seen.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("px").alias("apx"), F.col("py").alias("apy"), F.col("w").alias("aw"))
         b = seen.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("px").alias("bpx"), F.col("py").alias("bpy"), F.col("w").alias("bw"))
@@ -114,9 +120,8 @@ def linked_cells(points: DataFrame, cells: Cells) -> DataFrame:
         new = decided.where("near").select(*key)
         linked = new if linked is None else linked.unionByName(new)
         open_pairs = decided.where(~F.col("near")).select(*key)
-    parts = 16
     left = both.join(open_pairs, key, "left_semi").select(*key, "apx", "apy", "bpx", "bpy")
-    mine = points.select(*at(parts), "lat", "lon")
+    mine = points.select(*at(FINEST), "lat", "lon")
     a = mine.select(F.col("px").alias("apx"), F.col("py").alias("apy"), F.col("lat").alias("ala"), F.col("lon").alias("alo"))
     b = mine.select(F.col("px").alias("bpx"), F.col("py").alias("bpy"), F.col("lat").alias("bla"), F.col("lon").alias("blo"))
     last = left.join(a, ["apx", "apy"]).join(b, ["bpx", "bpy"]).where(haversine(F.col("ala"), F.col("alo"), F.col("bla"), F.col("blo")) <= cells.reach)
