@@ -87,3 +87,20 @@ def test_code_forms(spark):
     codes = spark.createDataFrame([("abcdefghijkl", 1), ("abcdefghijklmn", 1), ("abcdefghijklmnop", 5), ("abcdefghijklzz", 1), ("abc", 1)], "code string, n long")
     got = dict(map(tuple, full_codes(codes).collect()))
     assert got == {"abcdefghijkl": "abcdefghijklmnop", "abcdefghijklmn": "abcdefghijklmnop", "abcdefghijklmnop": "abcdefghijklmnop", "abcdefghijklzz": "abcdefghijklzz", "abc": "abc"}
+
+
+def test_loose_clusters_are_split_around_dense_spots_and_tight_ones_are_not(spark):
+    rng = random.Random(3)
+    spot = lambda la, lo, n, first: [(first + i, la + rng.uniform(-60, 60) * M, lo + rng.uniform(-60, 60) * M, None) for i in range(n)]
+    # two dense spots 900 m apart, joined by a chain of records 80 m apart
+    loose = spot(12.0, 140.0, 60, 100) + spot(12.0 + 900 * M, 140.0, 60, 200) + [(300 + i, 12.0 + i * 80 * M, 140.0, None) for i in range(12)]
+    tight = [(500 + i, 13.0 + rng.uniform(-40, 40) * M, 141.0 + rng.uniform(-40, 40) * M, None) for i in range(50)]
+    got = run(spark, loose + tight)
+    parts = describe_clusters(got["cells"]).collect()
+    of = lambda c: [r for r in parts if r["cluster_id"] == c]
+    assert len(of(100)) >= 2 and sum(r["n_records"] for r in of(100)) == 132
+    assert len(of(500)) == 1 and of(500)[0]["n_records"] == 50
+    # the two largest parts lie around the two spots
+    large = sorted(of(100), key=lambda r: -r["n_records"])[:2]
+    where = {r[0]: r[1] for r in loose}
+    assert {round((where[r["medoid"]] - 12.0) / (900 * M)) for r in large} == {0, 1}
