@@ -160,7 +160,7 @@ def _layer(s: SparkSession, d: str) -> DataFrame:
     return cells.where("cell_id % 4 <> 1").withColumn("geometry", sp.box_wkt(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
 
 
-_LAYER = """, layer as (select i * 5 + j as cell_id, i * 1800.0 as xmin, j * 1800.0 as ymin, (i + 1) * 1800.0 as xmax, (j + 1) * 1800.0 as ymax, (i + 0.5) * 1800.0 as cx, (j + 0.5) * 1800.0 as cy
+_LAYER = """, layer as (select i * 5 + j as cell_id, i * 1800.0::double as xmin, j * 1800.0::double as ymin, (i + 1) * 1800.0::double as xmax, (j + 1) * 1800.0::double as ymax, (i + 0.5) * 1800.0::double as cx, (j + 0.5) * 1800.0::double as cy
   from (select unnest(range(0, 5)) i), (select unnest(range(0, 5)) j) where (i * 5 + j) % 4 <> 1),
 inside as (select lon, lat, min(cell_id) cell_id from (select distinct lon, lat from traj) join layer on lon between xmin and xmax and lat between ymin and ymax group by 1, 2)
 """
