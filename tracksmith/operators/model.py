@@ -195,7 +195,7 @@ def cluster_trajectories(profiles: DataFrame, min_samples: int = 4, fit_users: i
     """MM9, second half: ``user_id, cluster``: users of like rhythm; -1 is noise.
 
     Two users are as far apart as the earth mover's distance between the values of their profiles: the mean difference of
-    the sorted values. Density clusters are formed at the radius of the best silhouette. They are fitted on at most
+    the sorted values. Density clusters are formed at the radius of the best silhouette (if none gives two clusters, at the widest). They are fitted on at most
     ``fit_users`` users (those of the least hash; a parameter, since the distances of all pairs are needed), and every
     other user joins the cluster of the nearest fitted core user within the radius.
     """
@@ -212,6 +212,9 @@ def cluster_trajectories(profiles: DataFrame, min_samples: int = 4, fit_users: i
         score = _silhouette(d, found)
         if score > best:
             best, eps, labels = score, float(e), found
+    if best <= -1.0:  # no radius gives two clusters: one for all who are alike at the widest
+        eps = float(steps[-1])
+        labels = _density(d, eps, min_samples)
     core = ((d <= eps).sum(1) >= min_samples) & (labels >= 0)
     cores, core_labels = m[core], labels[core]
 
