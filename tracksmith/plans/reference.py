@@ -237,7 +237,7 @@ from tracksmith.operators import model as mm  # noqa: E402
 from tracksmith.operators import prediction as pd_  # noqa: E402
 from tracksmith.operators import sequences as sq  # noqa: E402
 
-_LZ = """, p as (select user_id, labels, row_number() over (partition by user_id order by datetime, seq) i from coarse),
+_LZ = """, p as (select user_id, labels, cast(row_number() over (partition by user_id order by datetime, seq) as integer) i from coarse),
 x as (select a.user_id, a.i, a.i - b.i d from p a join p b on a.user_id = b.user_id and a.labels = b.labels and b.i < a.i),
 r as (select *, i - row_number() over (partition by user_id, d order by i) g from x), e as (select *, max(i) over (partition by user_id, d, g) z from r),
 l as (select user_id, i, max(least(z - i + 1, d)) m from e group by 1, 2),
