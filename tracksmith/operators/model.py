@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracksmith.functions.geo import planar
 from tracksmith.functions.timebins import micros
+from tracksmith.operators.density import density_labels
 from tracksmith.operators.prediction import uniform
 from tracksmith.operators.spatial import in_annulus, in_ellipse, locate
 from tracksmith.operators.statistics import with_bins
@@ -174,81 +175,29 @@ def circadian_profiles(df: DataFrame, ranked: DataFrame, weights: bool = True) -
     return grid.join(counts.select("user_id", "slot", "hod", "share"), ["user_id", "slot", "hod"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
 
 
-def _silhouette(d: np.ndarray, labels: np.ndarray) -> float:
-    known = np.unique(labels[labels >= 0])
-    if len(known) < 2:
-        return -1.0
-    at = labels >= 0
-    sums = np.stack([d[:, labels == k].sum(1) for k in known], 1)
-    sizes = np.array([(labels == k).sum() for k in known])
-    own = np.searchsorted(known, labels[at])
-    rows = np.arange(at.sum())
-    s = sums[at]
-    a = s[rows, own] / np.maximum(sizes[own] - 1, 1)
-    others = s / sizes
-    others[rows, own] = np.inf
-    b = others.min(1)
-    return float(np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0).mean())
-
-
-def cluster_trajectories(profiles: DataFrame, min_samples: int = 4, fit_users: int = 2000) -> DataFrame:
+def cluster_trajectories(profiles: DataFrame, min_samples: int = 4) -> DataFrame:
     """MM9, second half: ``user_id, cluster``: users of like rhythm; -1 is noise.
 
     Two users are as far apart as the earth mover's distance between the values of their profiles: the mean difference of
-    the sorted values. Density clusters are formed at the radius of the best silhouette (if none gives two clusters, at the widest). They are fitted on at most
-    ``fit_users`` users (those of the least hash; a parameter, since the distances of all pairs are needed), and every
-    other user joins the cluster of the nearest fitted core user within the radius.
+    the sorted values. Density clusters are formed over all users at the radius of the best silhouette (if none gives two
+    clusters, at the widest); see ``density_labels``. Users of equal values are one row with their count. Clusters are
+    numbered by the least hash of their core users.
     """
-    vectors = profiles.groupBy("user_id").agg(F.array_sort(F.collect_list("share")).alias("v"))
-    fitted = vectors.orderBy(F.xxhash64("user_id"), "user_id").limit(fit_users).toArrow()
-    if not fitted.num_rows:
+    vectors = materialize(profiles.groupBy("user_id").agg(F.array_sort(F.collect_list("share")).alias("v")), "vectors")
+    merged = vectors.groupBy("v").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(F.xxhash64("user_id").alias("hash"), "user_id")).alias("first"))
+    rows = merged.orderBy("first").select("v", "w").toArrow()
+    if not rows.num_rows:
         return vectors.select("user_id", F.lit(-1).alias("cluster"))
-    m = np.stack([np.asarray(v, float) for v in fitted.column("v").to_pylist()])
-    d = np.stack([np.abs(m - row).mean(1) for row in m])
-    steps = np.unique(np.quantile(d, np.linspace(0.005, 0.6, 60)))
-    best, eps, labels = -2.0, float(steps[-1]), np.full(len(m), -1)
-    for e in steps[steps > 0] if (steps > 0).any() else [1e-9]:
-        found = _density(d, float(e), min_samples)
-        score = _silhouette(d, found)
-        if score > best:
-            best, eps, labels = score, float(e), found
-    if best <= -1.0:  # no radius gives two clusters: one for all who are alike at the widest
-        eps = float(steps[-1])
-        labels = _density(d, eps, min_samples)
-    core = ((d <= eps).sum(1) >= min_samples) & (labels >= 0)
-    cores, core_labels = m[core], labels[core]
+    v = np.stack([np.asarray(x, float) for x in rows.column("v").to_pylist()])
+    spark = profiles.sparkSession
+    labels = density_labels(spark, v, rows.column("w").to_numpy(), min_samples)
+    known = spark.sparkContext.broadcast({row.tobytes(): int(label) for row, label in zip(v, labels)})
 
     @F.pandas_udf("int")
-    def assign(v: pd.Series) -> pd.Series:
-        if not len(cores):
-            return pd.Series(np.full(len(v), -1))
-        out = []
-        for row in v:
-            far = np.abs(cores - np.asarray(row, float)).mean(1)
-            k = int(np.argmin(far))
-            out.append(int(core_labels[k]) if far[k] <= eps + 1e-12 else -1)
-        return pd.Series(out, dtype="int32")
-
-    return vectors.select("user_id", assign("v").alias("cluster"))
-
-
-def _density(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    near = d <= eps
-    core = near.sum(1) >= min_samples
-    labels, number = np.full(len(d), -1), 0
-    for i in np.nonzero(core)[0]:
-        if labels[i] >= 0:
-            continue
-        todo = [i]
-        labels[i] = number
-        while todo:
-            k = todo.pop()
-            if core[k]:
-                fresh = np.nonzero(near[k] & (labels < 0))[0]
-                labels[fresh] = number
-                todo += fresh.tolist()
-        number += 1
-    return labels
+    def cluster_of(v: pd.Series) -> pd.Series:
+        return pd.Series([known.value[np.asarray(row, float).tobytes()] for row in v], dtype="int32")
+
+    return vectors.select("user_id", cluster_of("v").alias("cluster"))
 
 
 def cluster_shares(clusters: DataFrame) -> DataFrame:
