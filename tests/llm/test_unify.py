@@ -64,3 +64,23 @@ def test_rows_without_id_and_very_long_text(spark):
     long = "the local cache naïve\n" * 60_000
     docs = [(1, long), (2, long.replace("cache", "сache", 1)), (None, "the сache"), (None, "the cache"), (3, "the cache"), (4, "the cаche")]
     assert pairs(spark, docs) == [(1, 2), (3, 4)]
+
+
+def test_ascii_line_of_a_text_in_another_script(spark):
+    for first in ("Переименуй опору моста", "Μετακίνησε την καμπύλη"):
+        o = "о" if first[0] == "П" else "ο"
+        docs = [(1, first + "\n@@ -263,5 +263,8 @@ vipo"), (2, first + "\n@@ -263,5 +263,8 @@ vip" + o), (3, first + "\n@@ -263,5 +263,8 @@ vipe")]
+        assert pairs(spark, docs) == [(1, 2)]
+    assert [r[3] for r in repairs("привет вода\nvipe\nbase")] == ["ѵіре"]
+    # a text in Latin letters keeps its lines
+    assert list(repairs("naïve tale\nvipe\nα")) == [(16, 17, "α", "a")]
+
+
+def test_two_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    clean = [a + "\n" + b for a in ("Переименуй опору моста", "Μετακίνησε την καμπύλη", "Rename the local cache") for b in ("a x = cop", "ор", "vipe 12 oxo")]
+    docs = [(i, rng.choice(clean)) for i in range(12)] + [(100 + i, disguise(rng, rng.choice(clean))) for i in range(60)]
+    unique = dict(docs)
+    want = sorted((a, b) for a in unique for b in unique if a < b and unique[a] != unique[b] and folded(unique[a]) == folded(unique[b]))
+    assert len(want) > 50
+    assert pairs(spark, docs) == want

@@ -90,6 +90,10 @@ _ASCII_TOKEN = re.compile("[A-Za-z]+")
 
 _SPECIAL = re.compile("[" + re.escape("".join(map(chr, _PLAIN))) + "]")
 _FOLDED = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
+_ASCII_ALIKE = re.compile("[" + "".join(sorted(c for c in _ALIKE if c.isascii())) + "]")
+_ASCII_TELLS = re.compile("[" + "".join(c for c in map(chr, range(128)) if c.isalpha() and c not in _ALIKE) + "]")
+# where the letters of the other two scripts lie; Ω may be written as the sign of the unit
+_NOT_LATIN = re.compile("[Ͱ-Ͽἀ-\u1fffЀ-ԯ\u2126]")
 
 
 def _by_line(text: str, form) -> str:
@@ -150,16 +154,24 @@ def repaired(token: str, otherwise: int) -> str:
 
 
 def repairs(text: str):
-    """``(start, end, token, result)`` of the tokens of a plain text that repair would change."""
+    """``(start, end, token, result)`` of the tokens of a plain text that repair would change.
+
+    A line in ASCII is in question too where none of its letters tells a script and its text is not Latin: it may be
+    the other spelling of a line that is not ASCII.
+    """
     whole = None
     start = 0
     for line in text.split("\n"):
-        if not line.isascii():
-            here = dominant(unicodedata.normalize("NFD", line))
+        ascii_line = line.isascii()
+        if not ascii_line or (_ASCII_ALIKE.search(line) and not _ASCII_TELLS.search(line)):
+            here = None if ascii_line else dominant(unicodedata.normalize("NFD", line))
             if here is None:
                 if whole is None:
-                    whole = dominant(unicodedata.normalize("NFD", text)) or LATIN
+                    whole = (dominant(unicodedata.normalize("NFD", text)) or LATIN) if _NOT_LATIN.search(text) else LATIN
                 here = whole
+            if ascii_line and here == LATIN:
+                start += len(line) + 1
+                continue
             for m in _TOKEN.finditer(line):
                 token = m[0]
                 if token.isascii() and here == LATIN:
