@@ -104,3 +104,20 @@ def test_loose_clusters_are_split_around_dense_spots_and_tight_ones_are_not(spar
     large = sorted(of(100), key=lambda r: -r["n_records"])[:2]
     where = {r[0]: r[1] for r in loose}
     assert {round((where[r["medoid"]] - 12.0) / (900 * M)) for r in large} == {0, 1}
+
+
+def test_sizes_count_records_attached_by_code(spark):
+    rng = random.Random(4)
+    spot = lambda la, first, c: [(first + i, la + rng.uniform(-40, 40) * M, 140.0 + rng.uniform(-40, 40) * M, c) for i in range(40)]
+    # two spots of one cluster, 900 m apart, each with a code of its own, and a cluster of one spot
+    rows = spot(12.0, 100, "north") + spot(12.0 + 900 * M, 200, "south") + [(300 + i, 12.0 + i * 80 * M, 140.0, None) for i in range(12)] + spot(13.0, 500, "far")
+    rows += [(700 + i, None, None, c) for i, c in enumerate(["north"] * 3 + ["south"] * 5 + ["far"] * 7 + ["nowhere"])] + [(700, None, None, "north")]
+    got = run(spark, rows)
+    described = describe_clusters(got["cells"]).collect()
+    total = Counter()
+    for r in described:
+        total[r["cluster_id"]] += r["n_records"]
+    assert total == Counter(r["cluster_id"] for r in got["members"].collect()) == {100: 100, 500: 47}
+    at = {r["part"]: r["attached"] for r in got["cells"].collect() if r["attached"]}
+    where = {r[0]: r[1] for r in rows}
+    assert sorted((round((where[k] - 12.0) / (900 * M)), n) for k, n in at.items() if k < 500) == [(0, 3), (1, 5)]

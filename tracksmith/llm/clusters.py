@@ -163,9 +163,10 @@ def similarity_clusters(
     out; an empty table gives no rows. Coordinates must lie in ``area`` (latitude from, to, longitude from, to), not
     across the 180th meridian. Other columns are ignored, whatever their names.
 
-    ``cells`` describes clusters: ``x, y, cluster_id, n, record, part``: the occupied grid cells (any two records of a cell
-    are within reach), how many records, the smallest id, and the part of the cluster that a cell falls into when loose
-    clusters are split around the cells of the highest degree.
+    ``cells`` describes clusters: ``x, y, cluster_id, n, record, part, attached``: the occupied grid cells (any two records
+    of a cell are within reach), how many records, the smallest id, and the part of the cluster that a cell falls into when
+    loose clusters are split around the cells of the highest degree. ``attached``, at the cell that names a part, counts the
+    records without coordinates: each goes to the part of its cluster that carries its code most often (a tie: the smaller).
 
     Links are found between cells, not records: banded MinHash over the cells' surroundings for candidates, exact
     Jaccard similarity and exact distances to verify them, star contraction for the components. A cell with a third of
@@ -195,7 +196,13 @@ def similarity_clusters(
     homes = full.join(home, "full").select("code", "cluster_id")
     attached = rows.where(~F.col("there")).select("id", "code").join(homes, "code").select("id", "cluster_id", F.lit(False).alias("has_position"))
     members = members.select("id", "cluster_id", F.lit(True).alias("has_position")).unionByName(attached).withColumnRenamed("id", record_id)
-    return {"members": members, "cells": labelled.join(_parts(labelled.select("record", "n"), edges), "record")}
+    cells = labelled.join(_parts(labelled.select("record", "n"), edges), "record")
+    by_part = placed.where(F.col("code").isNotNull()).join(cells.select("x", "y", "cluster_id", "part"), ["x", "y"]).groupBy("code", "cluster_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    by_part = by_part.join(full, "code").groupBy("full", "cluster_id", "part").agg(F.sum("n").alias("n"))
+    part_of = by_part.join(home, ["full", "cluster_id"]).groupBy("full").agg(F.min(F.struct((-F.col("n")).alias("n"), "part")).alias("p")).select("full", F.col("p.part").alias("record"))
+    unplaced = rows.where(~F.col("there")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).join(full, "code").join(part_of, "full")
+    cells = cells.join(unplaced.groupBy("record").agg(F.sum("n").alias("attached")), "record", "left")
+    return {"members": members, "cells": cells.withColumn("attached", F.coalesce("attached", F.lit(0)))}
 
 
 def _parts(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -217,6 +224,8 @@ def _parts(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFram
 def describe_clusters(cells: DataFrame) -> DataFrame:
     """Size and most typical member of each part of a cluster: ``cluster_id, medoid, n_records, n_cells``.
 
-    The medoid is the smallest record id of the cell with the most linked cells around it.
+    ``n_records`` counts all members: those with coordinates in the part, and those without that are attached to it by
+    their code. One typical member is listed for each part: the medoid, the smallest record id of the cell with the most
+    linked cells around it (on a tie, with the most records, then the smallest id). Other typical members are not listed.
     """
-    return cells.groupBy("cluster_id", F.col("part").alias("medoid")).agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_cells"))
+    return cells.groupBy("cluster_id", F.col("part").alias("medoid")).agg(F.sum(F.col("n") + F.col("attached")).alias("n_records"), F.count(F.lit(1)).alias("n_cells"))
