@@ -46,6 +46,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return grid.select("user_id", F.col("step").alias("hour"))
 
 
+def p4_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hour of the table for every user: with data, missing, or outside of the user's readings."""
+    df = table(spark, folder, STOPS)
+    usable = F.coalesce(F.col("end") >= F.col("start"), F.lit(False))
+    at = lambda c: micros(F.when(usable, F.col(c)).otherwise(F.col("datetime")))
+    span = df.where(F.col("user_id").isNotNull()).agg(F.min(at("start")), F.max(at("end"))).first()
+    bounds = tuple(F.timestamp_micros(F.lit(us).cast("long")) for us in span)
+    grid = regular_grid(df, "user_id", F.col("datetime"), "1 hour", F.col("start"), F.col("end"), bounds=bounds, emit="all")
+    return grid.select("user_id", F.col("step").alias("hour"), "state")
+
+
 def p6_stops_and_trips(spark: SparkSession, folder: str) -> DataFrame:
     """Stops and trips with duration, number of pings, middle and length of path."""
     pings = records(spark, folder).where(~F.col("is_stay") & F.col("pos").isNotNull())
@@ -66,7 +77,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.replace({"region": "cell", "point": "landmark"}, subset=["target_kind"])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_user_totals": p2_user_totals, "p4_found": p4_found, "p6_found": p6_found, "p6_stops_and_trips": p6_stops_and_trips, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_user_totals": p2_user_totals, "p4_found": p4_found, "p4_grid": p4_grid, "p6_found": p6_found, "p6_stops_and_trips": p6_stops_and_trips, "p7_found": p7_found}
 
 #: Records with their positions (``la``, ``lo``) in SQL, each id once.
 POSITIONS = r"""
@@ -106,6 +117,14 @@ with r as (select user_id, case when "end" >= "start" then epoch_us("start") els
 c as (select user_id, a, max(b) b from r group by 1, 2),
 w as (select user_id, max(b) over (partition by user_id order by a) t, lead(a) over (partition by user_id order by a) n from c)
 select user_id, unnest(range(t + 1, n)) as hour from w where n - t - 1 between 1 and 720""",
+    "p4_grid": """
+with r as (select user_id, case when "end" >= "start" then epoch_us("start") else epoch_us(datetime) end // 3600000000 a,
+  case when "end" >= "start" then epoch_us("end") else epoch_us(datetime) end // 3600000000 b from preprocessed_stops_sample where user_id is not null),
+u as (select user_id, min(a) f, max(b) l from r where a is not null group by 1), s as (select min(f) lo, max(l) hi from u),
+d as (select distinct user_id, unnest(range(a, b + 1)) as hour from r where a is not null),
+g as (select user_id, f, l, unnest(range(lo, hi + 1)) as hour from u, s)
+select g.user_id, g.hour, case when d.hour is not null then 'reading' when g.hour between f and l then 'missing' else 'outside' end as state
+from g left join d on g.user_id = d.user_id and g.hour = d.hour""",
     "p7_found": POSITIONS
     + """, st as (select id, la, lo from pos where is_stay and la is not null),
 rings as (select cell_id, xmin, ymin, xmax, ymax, unnest(regexp_extract_all(geometry, '\\(([^()]+)\\)', 1)) ring from area_layer),
