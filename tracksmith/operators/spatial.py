@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksmith.operators.spatial_join import near_and_within
+from tracksmith.operators.spatial_join import matches, triangles
 from tracksmith.operators.trajectory import in_time
 from tracksmith.storage import materialize
 
@@ -109,11 +109,10 @@ def box_wkt(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 def locate(df: DataFrame, layer: DataFrame, cell_id: str = "cell_id", geometry: str = "geometry") -> DataFrame:
     """G6: ``lon, lat, cell_id`` of every distinct place inside a cell of a polygon layer (see ``near_and_within``)."""
-    places = df.select("lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct().withColumn("_p", F.xxhash64("lon", "lat"))
-    none = df.sparkSession.createDataFrame([], "i long, la double, lo double")
+    places = df.select("lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct()
     # only planar tests are made; the distance plays no part
-    found = near_and_within(places.select("_p", "lon", "lat"), "_p", F.col("lat"), F.col("lon"), layer, cell_id, geometry, none, "i", "la", "lo", planar=True)
-    return places.join(found.select("_p", F.col("target_id").alias(cell_id)), "_p").drop("_p")
+    found = matches(places.select(F.lit(0).cast("long").alias("id"), F.col("lat").cast("double").alias("la"), F.col("lon").cast("double").alias("lo")), triangles(layer, cell_id, geometry), 0.0, key=("lo", "la"))
+    return found.select(F.col("lo").alias("lon"), F.col("la").alias("lat"), F.col("target").alias(cell_id))
 
 
 @dataclass(frozen=True)
