@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracksmith.functions.geo import haversine_np
-from tracksmith.llm.runs import collapse_runs, spans_of_runs
+from tracksmith.llm.runs import SYMBOLS, canonical, collapse_runs, spans_of_runs
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "who string, t timestamp, n long, la double, lo double, k string, part long"
@@ -35,11 +35,32 @@ def brute(rows, within=5.0, least=2):
     return sorted(out)
 
 
-@given(st.lists(st.booleans(), max_size=200))
-def test_spans(changes):
-    changes = np.array([True, *changes])
-    ends = [*np.nonzero(changes)[0][1:], len(changes)]
-    assert spans_of_runs(changes).tolist() == [list(p) for p in zip(np.nonzero(changes)[0], ends)]
+@given(st.lists(st.tuples(st.integers(0, 3), st.booleans()), max_size=200))
+def test_spans(steps):
+    """Few places that come again and again; a step to another place is out of reach, one to the same place may be."""
+    places = np.array([p for p, _ in steps], float)
+    starts = np.array([i == 0 or p != steps[i - 1][0] or far for i, (p, far) in enumerate(steps)], bool)
+    events = canonical(places, places, starts)
+    assert events.tolist() == np.unique(places, return_inverse=True)[1].tolist()
+    at = np.nonzero(starts)[0]
+    assert spans_of_runs(events, starts).tolist() == [list(p) for p in zip(at, [*at[1:], len(steps)])]
+
+
+def test_the_text_decides():
+    """A place has its symbol wherever it comes, and the repetitions are those of the text, not of the flags."""
+    lat = np.array([1.0, 1.0, 2.0, 1.0, 1.00001, 1.0])
+    starts = np.array([True, False, True, True, False, False])
+    assert canonical(lat, lat, starts).tolist() == [0, 0, 1, 0, 0, 0]
+    assert spans_of_runs(np.array([5, 5, 7, 5]), np.array([True, True, True, True])).tolist() == [[0, 1], [1, 2], [2, 3], [3, 4]]
+    assert spans_of_runs(np.array([5, 5, 7, 5]), np.zeros(4, bool)).tolist() == [[0, 2], [2, 3], [3, 4]]
+
+
+def test_more_events_than_symbols():
+    n = len(SYMBOLS) + 50
+    events, starts = np.arange(n), np.ones(n, bool)
+    events[len(SYMBOLS) - 2 : len(SYMBOLS) + 3], starts[len(SYMBOLS) - 1 : len(SYMBOLS) + 3] = 7, False
+    at = np.nonzero(starts)[0]
+    assert spans_of_runs(events, starts).tolist() == [list(p) for p in zip(at, [*at[1:], n])]
 
 
 @pytest.mark.parametrize("chunk", ["1 min", "1 hour", "7 days"])

@@ -15,19 +15,44 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tracksmith.functions.geo import haversine, haversine_np
 from tracksmith.functions.timebins import micros, micros_of
 
-#: First code point and number of the symbols (a private-use plane), and the pattern of a run.
-SYMBOLS, ALPHABET = 0xF0000, 4096
-RUN = re.compile(r"(.)\1*", re.DOTALL)
+#: The symbols: code points of the two private-use planes, the sign of a break, and the pattern of a run.
+SYMBOLS = np.concatenate([np.arange(0xF0000, 0xFFFFE), np.arange(0x100000, 0x10FFFE)]).astype("<u4")
+BREAK = 0xF8FF
+RUN = re.compile("([^\uf8ff])\\1*")
 
 
-def spans_of_runs(changes: np.ndarray) -> np.ndarray:
-    """Spans of the runs of a sequence, given where an event differs from the one before.
+def canonical(lat: np.ndarray, lon: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for the canonical event of each event of a sequence: one number for each place, wherever it comes.
 
-    Events become symbols: one and the same while nothing changes, the next one where something does. In the text of
-    the symbols a run is a back-reference repetition.
+    The canonical event of an event within reach of the one before is that one's; any other event is its own.
     """
-    symbols = (SYMBOLS + np.cumsum(changes) % ALPHABET).astype("<u4")
-    return np.array([m.span() for m in RUN.finditer(symbols.tobytes().decode("utf-32-le"))], np.int64).reshape(-1, 2)
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(lat)), 0))
+    places = np.stack([lat[first], lon[first]], 1)
+    return np.unique(places, axis=0, return_inverse=True)[1].reshape(-1) if len(lat) else np.zeros(0, np.int64)
+
+
+def spans_of_runs(events: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Spans of the runs of a sequence of canonical events, found as back-reference repetitions in a text.
+
+    Each canonical event is a code point, the same wherever it comes, and the text is searched for repetitions of one.
+    Where a run begins with the symbol that the one before ends with (a step out of reach that comes back to the same
+    canonical event, or the next key), a break stands between them.
+    """
+    out = []
+    for at in range(0, len(events), len(SYMBOLS)):
+        # more different events than symbols: parts of as many events, of which a run may go on in the next
+        part, new = events[at : at + len(SYMBOLS)], starts[at : at + len(SYMBOLS)]
+        codes = np.unique(part, return_inverse=True)[1].reshape(-1)
+        breaks = np.nonzero(new[1:] & (codes[1:] == codes[:-1]))[0] + 1
+        text = np.insert(SYMBOLS[codes], breaks, BREAK).astype("<u4").tobytes().decode("utf-32-le")
+        spans = np.array([m.span() for m in RUN.finditer(text)], np.int64).reshape(-1, 2)
+        spans -= np.searchsorted(breaks + np.arange(len(breaks)), spans[:, :1], "left")
+        spans += at
+        if out and len(spans) and not new[0]:
+            spans[0, 0] = out[-1][-1, 0]
+            out[-1] = out[-1][:-1]
+        out.append(spans)
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def collapse_runs(
@@ -40,8 +65,8 @@ def collapse_runs(
     are one event. Rows without key, time or coordinates are left out. Runs of fewer than ``least`` events are not
     listed (``least=1`` lists the whole sequence, collapsed). An empty table gives no rows. Other columns are ignored.
 
-    A key's events are handled in chunks of time, so a key with very many rows goes to many tasks. A batch of rows is
-    turned into one text of symbols and searched at once. Runs inside a chunk are final; of the first and the last of
+    A key's events are handled in chunks of time, so a key with very many rows goes to many tasks. The events of a batch
+    of rows become canonical (see ``canonical``) and one text of symbols, which is searched at once for repetitions. Runs inside a chunk are final; of the first and the last of
     each chunk a row is kept, and a window over those rows joins the ones that go on.
     """
     kind = df.schema[key].dataType
@@ -74,9 +99,9 @@ def collapse_runs(
             c, t, o, la, lo, codes = c[at], t[at], o[at], la[at], lo[at], codes[at]
             new_chunk = np.ones(len(at), bool)
             new_chunk[1:] = (codes[1:] != codes[:-1]) | (c[1:] != c[:-1])
-            changes = new_chunk.copy()
-            changes[1:] |= haversine_np(la[:-1], lo[:-1], la[1:], lo[1:]) > within
-            spans = spans_of_runs(changes)
+            starts = new_chunk.copy()
+            starts[1:] |= haversine_np(la[:-1], lo[:-1], la[1:], lo[1:]) > within
+            spans = spans_of_runs(canonical(la, lo, starts), starts)
             a, z = spans[:, 0], spans[:, 1] - 1
             last_of_chunk = np.concatenate([new_chunk[1:], [True]])
             head, tail = new_chunk[a], last_of_chunk[z]
