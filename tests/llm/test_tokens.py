@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tracksmith.llm.tokens import TOKENIZERS, decode_corpus, encode_corpus, encoder
+from tracksmith.llm.tokens import TOKENIZERS, boundaries, cut_into_pieces, decode_corpus, encode_corpus, encoder, is_sure
 
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no vocabulary files")
 
@@ -47,3 +47,25 @@ def test_rows_without_id_and_very_long_text(spark):
     df = spark.createDataFrame([(1, long), (None, "x"), (2, "y")], "doc long, body string")
     got = {r["doc"]: r["ids"] for r in encode_corpus(df, "doc", "body").collect()}
     assert got == {1: encoder(TOKENIZERS, "byte_bpe_50k").encode_ordinary(long), 2: encoder(TOKENIZERS, "byte_bpe_50k").encode_ordinary("y")}
+
+
+def test_a_long_word_at_one_edge_leaves_the_other_pieces_alone(spark):
+    plain = encoder(TOKENIZERS, "byte_bpe_50k")
+    words = "some words, 12 of them\n" * 20_000
+    text = words[:30_000] + "x" * 5_000 + words[30_000:]
+    df = spark.createDataFrame([(1, text)], "id long, t string")
+    pieces = sorted((r["piece"], r["t"]) for r in cut_into_pieces(df, 32_768, 2_048).collect())
+    assert "".join(t for _, t in pieces) == text
+    assert len(pieces) == -(-len(text) // 32_768) - 1 and max(len(t) for _, t in pieces) < 3 * 32_768
+    assert [i for _, t in pieces for i in plain.encode_ordinary(t)] == plain.encode_ordinary(text)
+
+
+def test_sure_boundaries_are_boundaries_of_every_reading():
+    rng = random.Random(6)
+    signs = ["a", "é", "s", "'", "'s", "ll", "1", "²", " ", "  ", "\n", "!", "...", "\u0301", "日", "🙂", "\x1c", "\xa0", "_"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs) for _ in range(60))
+        sure = [b for b in range(1, len(text)) if is_sure(text, b)]
+        for start in range(0, 30):
+            seen = {start + b for b in boundaries(text[start:])}
+            assert {b for b in sure if b > start} <= seen

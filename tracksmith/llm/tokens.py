@@ -76,24 +76,62 @@ def _slices(chunk: int, overlap: int):
     return run
 
 
+_KINDS = regex.compile(r"(\s)|(\p{L})|(\p{N})|(.)", regex.DOTALL)
+# signs that are space to some libraries only
+_UNSURE = "\x1c\x1d\x1e\x1f\x85"
+
+
+def _kind(c: str) -> int:
+    return _KINDS.match(c).lastindex
+
+
+def is_sure(text: str, at: int) -> bool:
+    """Whether every reading has a boundary at this place, wherever it began.
+
+    A pre-token takes in all of a run of letters, digits or other signs once it has one of them, and goes over from one
+    kind to another only from a space, or from an apostrophe to letters. So where a run of one kind ends otherwise, a
+    pre-token ends.
+    """
+    if at == 0:
+        return True
+    if text[at - 1] in _UNSURE or text[at] in _UNSURE:
+        return False
+    before, after = _kind(text[at - 1]), _kind(text[at])
+    return before != 1 and before != after and not (text[at - 1] == "'" and after == 2)
+
+
 def _edges(chunk: int, overlap: int):
-    """Where a chunk sees pre-tokens begin after a character that is no space: in its first characters, and past its end."""
+    """Sure boundaries among the pre-tokens that a chunk sees: in its first characters, and past its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, tails = [], []
             for last, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                # what a chunk sees of its last two pre-tokens may come out otherwise with the text that follows
-                at = boundaries(t)
-                sure = [b for b in (at if last else at[:-3]) if b == 0 or not t[b - 1].isspace()]
-                heads.append([b for b in sure if b < overlap])
-                tails.append([] if last else [b - chunk for b in sure if b >= chunk])
+                # the pre-tokens of the first and the last characters; what lies between plays no part
+                at = [b for b in boundaries(t[: 2 * overlap]) if b < min(overlap, len(t)) and is_sure(t, b)]
+                heads.append(at)
+                near = max(0, chunk - overlap)
+                tails.append([] if last else [b + near - chunk for b in boundaries(t[near:])[:-1] if b + near >= chunk and is_sure(t, b + near)])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, kind), pa.array(tails, kind)], names=["id", "k", "heads", "tails"])
 
     return run
 
 
+def cut_into_pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """Texts (``id, t``) in pieces that can be encoded each for itself: ``id, piece, t``."""
+    slices = materialize(long.mapInArrow(_slices(chunk, overlap), "id long, k long, is_last boolean, t string").repartition("id", "k"), "chunks")
+    edges = slices.mapInArrow(_edges(chunk, overlap), "id long, k long, heads array<int>, tails array<int>")
+    w = Window.partitionBy("id").orderBy("k")
+    # a piece begins at place r of chunk k
+    meets = edges.select("id", "k", F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w)))).alias("r"))
+    meets = meets.select("id", "k", "r", F.lead("r").over(w).alias("next_r"), F.last(F.when(F.col("r").isNotNull(), F.col("k")), ignorenulls=True).over(w).alias("piece"))
+    own = F.when(F.col("is_last"), F.length("t")).otherwise(F.lit(chunk) + F.coalesce("next_r", F.lit(0)))
+    start = F.coalesce("r", F.lit(0))
+    parts = slices.join(meets, ["id", "k"]).select("id", "k", "piece", F.substring("t", start + 1, own - start).alias("t"))
+    return parts.groupBy("id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("t"))
+
+
 def encode_corpus(
     df: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP,
 ) -> DataFrame:
@@ -103,25 +141,15 @@ def encode_corpus(
     Other columns are ignored, whatever their names.
 
     A text of at most ``chunk`` characters is encoded where it is read. A longer one is cut into chunks that overlap
-    and go to different tasks. Each is split into pre-tokens on its own; where a chunk and the one before see a
-    boundary at the same place of their overlap, both go on alike from there, as the pattern never looks back. The
-    pieces between such places are encoded in parallel and their ids put together by text. From a chunk on that has no
-    such place (a word longer than the overlap), the rest of that text stays one piece, so the ids are exact.
+    and go to different tasks. Each is split into pre-tokens on its own; where a chunk and the one before see a sure
+    boundary (see ``is_sure``) at the same place of their overlap, both go on alike from there, as the pattern never looks
+    back. The pieces between such places are encoded in parallel and their ids put together by text. Two chunks without
+    such a place between them (a word longer than the overlap) are one piece; the places after it count as before.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull())
     length = F.coalesce(F.length("t"), F.lit(0))
     done = rows.where(length <= chunk).mapInArrow(_encode(folder, name, ["id", "ids"]), "id long, ids array<int>")
-    slices = materialize(rows.where(length > chunk).mapInArrow(_slices(chunk, overlap), "id long, k long, is_last boolean, t string").repartition("id", "k"), "chunks")
-    edges = slices.mapInArrow(_edges(chunk, overlap), "id long, k long, heads array<int>, tails array<int>")
-    w = Window.partitionBy("id").orderBy("k")
-    # a piece begins at place r of chunk k; all chunks before it must have met too
-    meets = edges.select("id", "k", F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w)))).alias("r"))
-    meets = meets.select("id", "k", F.when(F.max(F.col("r").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0, F.col("r")).alias("r"))
-    meets = meets.select("id", "k", "r", F.lead("r").over(w).alias("next_r"), F.last(F.when(F.col("r").isNotNull(), F.col("k")), ignorenulls=True).over(w).alias("piece"))
-    own = F.when(F.col("is_last"), F.length("t")).otherwise(F.lit(chunk) + F.coalesce("next_r", F.lit(0)))
-    start = F.coalesce("r", F.lit(0))
-    parts = slices.join(meets, ["id", "k"]).select("id", "k", "piece", F.substring("t", start + 1, own - start).alias("t"))
-    pieces = parts.groupBy("id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("t"))
+    pieces = cut_into_pieces(rows.where(length > chunk), chunk, overlap)
     encoded = pieces.mapInArrow(_encode(folder, name, ["id", "piece", "ids"]), "id long, piece long, ids array<int>")
     long = encoded.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
     return done.unionByName(long).withColumnRenamed("id", doc_id)
