@@ -54,3 +54,29 @@ def test_rows_without_id_and_very_long_text(spark):
     item = " ".join(f"w{i}" for i in range(20))
     long = "filler w3 w4 " * 200_000 + item + " end " * 1000
     assert run(spark, [(1, long), (None, item), (2, item + "x")], [(7, item), (None, item)]) == [(1, 7), (2, 7)]
+
+
+@pytest.mark.parametrize("broadcast_chars", [10**6, 0])
+def test_boilerplate_in_all_texts_and_items(spark, broadcast_chars, monkeypatch):
+    """One sentence in every text and every item: the rows that verify candidates stay in proportion to the pairs."""
+    from tracksmith.llm import leaks
+
+    same = " ".join(f"same{i}" for i in range(12))
+    items = [(i, f"{same} own{i} tail{i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)]
+    docs = [(d, f"{same} other{d} " * 20) for d in range(300)] + [(1000 + i, "a b c " + items[i][1]) for i in range(5)]
+    sizes = {}
+    real = leaks.materialize
+    monkeypatch.setattr(leaks, "materialize", lambda df, name: sizes.setdefault(name, real(df, name)))
+    assert run(spark, docs, items, broadcast_chars=broadcast_chars) == [(1000 + i, i) for i in range(5)]
+    assert sizes["candidates"].count() < 200
+
+
+def test_words_are_compared_not_hashes(spark, monkeypatch):
+    from tracksmith.llm import leaks
+
+    words = [f"w{i}" for i in range(14)]
+    docs, items = [(1, " ".join(words)), (2, " ".join(words[:12] + ["zz", "yy"]))], [(7, " ".join(words))]
+    assert run(spark, docs, items) == [(1, 7)]
+    df = spark.createDataFrame([(1, "a b c d e f")], "id long, t string")
+    got = df.mapInArrow(leaks._postings(None), "id long, shingle long, pos int, after int, words string").collect()
+    assert [(r["pos"], r["words"]) for r in got] == [(0, "a b c d e"), (1, "b c d e f")]

@@ -46,9 +46,9 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _postings(known: tuple[dict[str, int], np.ndarray] | None):
-    """Shingles of each text with their place and the number of shingles after it; only those known, if told which."""
-    schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("after", pa.int32())])
+def _postings(known: tuple[dict[str, int], np.ndarray] | None, spelled: bool = True):
+    """Shingles of each text with their place, the number of shingles after it and, ``spelled``, the words; only those known, if told which."""
+    schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("after", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = dict(known[0]) if known else {}
@@ -56,7 +56,7 @@ def _postings(known: tuple[dict[str, int], np.ndarray] | None):
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                ids, sizes, flat = [], [], []
+                ids, sizes, flat, all_words = [], [], [], []
                 for i, text in zip(*(c.to_pylist() for c in part.columns)):
                     if i is None or not text:
                         continue
@@ -74,6 +74,8 @@ def _postings(known: tuple[dict[str, int], np.ndarray] | None):
                             flat.append(codes[w])
                     ids.append(i)
                     sizes.append(len(words))
+                    if spelled:
+                        all_words += words
                 if not ids:
                     continue
                 all_codes, sizes = np.array(flat, np.uint64), np.array(sizes)
@@ -95,6 +97,7 @@ def _postings(known: tuple[dict[str, int], np.ndarray] | None):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.array(ids, np.int64)[doc[at]]), pa.array(h[at].view(np.int64)),
                         pa.array((at - (ends - sizes)[doc[at]]).astype(np.int32)), pa.array(after[at].astype(np.int32)),
+                        pa.array([" ".join(all_words[k : k + SHINGLE]) if spelled else None for k in at], pa.string()),
                     ], schema=schema)
 
     return run
@@ -113,18 +116,19 @@ def leaked_items(
     item's shingle is, is counted over the whole corpus. Of the shingles of a window of ``words`` words of an item all
     must be in the document, so the rarest one is a sufficient prefix: only its occurrences are joined, and a window
     that has a shingle found nowhere is not joined at all. An occurrence is a candidate if the window fits into the text
-    around it (length and position). Candidates are verified on the places of all their shingles: ``words - 4`` in a row
-    with the same distance between place in text and place in item.
+    around it (length and position). For candidates alone the item's shingles around are looked up in the text, each at the
+    place where it must stand, and compared word by word; ``words - 4`` in a row are a passage.
 
     If the items' texts have at most ``broadcast_chars`` characters together (checked), their shingles go to the
-    executors and the corpus brings in only those; else the corpus brings in all of its shingles and is joined by them.
+    executors and the corpus brings in only those; else the corpus brings in the hashes of all its shingles, is joined by
+    them, and the texts with candidates are read once more for their words.
     """
     needed = words - SHINGLE + 1
     if needed < 1:
         raise ValueError(f"at least {SHINGLE} words")
     its = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("t"))
-    ddl = "id long, shingle long, pos int, after int"
-    item_side = its.distinct().mapInArrow(_postings(None), ddl).select(F.col("id").alias("item"), "shingle", F.col("pos").alias("ipos"), F.col("after").alias("iafter"))
+    ddl = "id long, shingle long, pos int, after int, words string"
+    item_side = its.distinct().mapInArrow(_postings(None), ddl).select(F.col("id").alias("item"), "shingle", F.col("pos").alias("ipos"), F.col("after").alias("iafter"), "words")
     size = its.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     corpus = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     if size <= broadcast_chars:
@@ -133,7 +137,7 @@ def leaked_items(
         known = (vocabulary, np.sort(hashes)) if len(hashes) else ({}, np.zeros(1, np.uint64))
         found = corpus.mapInArrow(_postings(known), ddl)
     else:
-        found = corpus.mapInArrow(_postings(None), ddl).join(item_side.select("shingle").distinct(), "shingle", "left_semi")
+        found = corpus.mapInArrow(_postings(None, spelled=False), ddl).join(item_side.select("shingle").distinct(), "shingle", "left_semi")
     found = materialize(found, "postings")
     item_side = materialize(item_side, "items")
     counts = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
@@ -144,9 +148,13 @@ def leaked_items(
     # windows that share their rarest shingle need its occurrences once; the least demand on the text around it is kept
     prefixes = rarest.groupBy("item", F.col("p.shingle").alias("shingle"), F.col("p.ipos").alias("ipos")).agg(F.min("p.off").alias("least_before"), F.min(F.lit(needed - 1) - F.col("p.off")).alias("least_after"))
     candidates = found.join(prefixes, "shingle").where((F.col("pos") >= F.col("least_before")) & (F.col("after") >= F.col("least_after")))
-    candidates = candidates.select("id", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
-    touched = found.join(candidates.select("id").distinct(), "id", "left_semi").join(item_side.select("item", "shingle", "ipos"), "shingle")
-    lined = touched.select("id", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos").join(candidates, ["id", "item", "shift"], "left_semi")
+    candidates = materialize(candidates.select("id", "item", (F.col("pos") - F.col("ipos")).alias("shift"), F.col("ipos").alias("at")).distinct(), "candidates")
+    if size > broadcast_chars:
+        found = corpus.join(candidates.select("id").distinct(), "id", "left_semi").mapInArrow(_postings(None), ddl)
+    # the item's shingles around a candidate, each at the place of the text where it must stand
+    around = candidates.join(item_side.select("item", "ipos", "shingle", F.col("words").alias("its_words")), "item").where(F.abs(F.col("ipos") - F.col("at")) < needed)
+    around = around.select("id", "item", "shift", "ipos", (F.col("ipos") + F.col("shift")).alias("pos"), "shingle", "its_words").distinct()
+    lined = around.join(found.select("id", "pos", "shingle", "words"), ["id", "pos", "shingle"]).where(F.col("words") == F.col("its_words")).select("id", "item", "shift", "ipos")
     run = F.col("ipos") - F.row_number().over(Window.partitionBy("id", "item", "shift").orderBy("ipos"))
     hits = lined.distinct().select("id", "item", "shift", run.alias("run")).groupBy("id", "item", "shift", "run").count().where(F.col("count") >= needed)
     return hits.select(F.col("id").alias(doc_id), F.col("item").alias(item_id)).distinct()
