@@ -9,7 +9,7 @@ from tracksmith.llm.clusters import describe_clusters, similarity_clusters
 from tracksmith.llm.leaks import leaked_items
 from tracksmith.llm.runs import collapse_runs
 from tracksmith.llm.tokens import encode_corpus
-from tracksmith.llm.unify import same_looking_pairs, unified_forms
+from tracksmith.llm.unify import same_looking_classes, same_looking_pairs, unified_forms
 from tracksmith.plans.preparation import POSITIONS, apart, records
 from tracksmith.sources.tables import table
 
@@ -56,7 +56,12 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_looking_pairs(unified_forms(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_venues": p5_venues, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_forms": p10_forms}
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of each document that looks like one of another spelling, with the number of its links."""
+    return same_looking_classes(unified_forms(table(spark, folder, "documents"), "doc_id", "text"), "doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_venues": p5_venues, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes, "p10_forms": p10_forms}
 
 _RUNS = (
     POSITIONS

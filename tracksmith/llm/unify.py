@@ -293,3 +293,16 @@ def same_looking_pairs(forms: DataFrame, doc_id: str) -> DataFrame:
     right = members.select("form", F.col("raw").alias("rb"), F.col("id").alias("ib"))
     out = pairs.join(left, ["form", "ra"]).join(right, ["form", "rb"])
     return out.select(F.least("ia", "ib").alias(f"{doc_id}_a"), F.greatest("ia", "ib").alias(f"{doc_id}_b")).distinct()
+
+
+def same_looking_classes(forms: DataFrame, doc_id: str) -> DataFrame:
+    """The same without pairs: ``doc_id, class_id, n_docs, n_links``, a row for each text that is in a pair.
+
+    ``class_id`` is the smallest id of the texts of one form, ``n_docs`` their number, and ``n_links`` how many of them are
+    spelled otherwise than this one. The pairs follow from it, but it grows with the texts and not with their pairs.
+    """
+    there = forms.where(~F.col("blank") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), "raw", "form").dropDuplicates(["id", "raw"])
+    spelled = there.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("own"), F.min("id").alias("least"))
+    classes = spelled.groupBy("form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("own").alias("n_docs"), F.min("least").alias("class_id")).where(F.col("spellings") > 1)
+    rows = there.join(classes, "form").join(spelled.select("form", "raw", "own"), ["form", "raw"])
+    return rows.select(F.col("id").alias(doc_id), "class_id", "n_docs", (F.col("n_docs") - F.col("own")).alias("n_links"))
