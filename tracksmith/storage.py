@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
-    The session's ``spark.checkpoint.dir`` is read; only where it is unset (tests, a single machine) an own
-    temporary folder is made, kept for the life of the session and removed at exit.
+    The session's ``spark.checkpoint.dir`` is read; only where it is unset on a local master (tests, a single machine) an
+    own temporary folder is made, kept for the life of the session and removed at exit. On a cluster it must be set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all its machines share")
     own = getattr(sc, "_tracksmith_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tracksmith-")
@@ -41,7 +43,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracksmith_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing will read any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._tracksmith_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
