@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.functions.geo import EARTH_RADIUS_M, STUDY_AREA, haversine
-from tracksmith.storage import materialize
+from tracksmith.storage import materialize, release
 
 DEGREE_M = math.pi / 180 * EARTH_RADIUS_M
 #: Parts of a cell's side at the last step but the points themselves.
-FINEST = 16
+FINEST = 256
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -34,7 +35,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        links = materialize(small.where(F.col("u") != F.col("v")).distinct(), "links")
+        before, links = links, materialize(small.where(F.col("u") != F.col("v")).distinct(), "links")
+        release(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == mark:
             break
@@ -101,31 +103,41 @@ def linked_cells(points: DataFrame, cells: Cells) -> DataFrame:
 
     ``points`` has ``lat, lon``. Candidates are decided from coarse to fine: in each part of a cell one point stands as a
     witness. Two witnesses within reach link the cells; parts too far apart for any point of theirs drop out; cells with
-    neither go on with finer parts, and at last with the points of the parts still open. So of a cell with very many
-    points only few are looked at, and the points of a cell never meet those of another one all at once.
+    neither go on with finer parts of the parts still open, and at last with the points of those, which are a
+    1/FINEST of a cell wide (0.3 m for a reach of 100 m). So of a cell with very many points only few are looked at, and
+    the points of a cell never meet those of another one all at once.
     """
-    points = points.select("lat", "lon").distinct()
-    at = lambda parts: (cells.x(F.col("lon"), parts).alias("px"), cells.y(F.col("lat"), parts).alias("py"))
-    occupied = points.select(cells.x(F.col("lon")).alias("x"), cells.y(F.col("lat")).alias("y")).distinct()
-    open_pairs = materialize(candidate_cells(occupied, cells.span).where(cells.apart(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), 1) <= cells.reach), "candidates")
-    linked = None
+    points = materialize(points.select("lat", "lon").distinct(), "points")
+    cell = lambda parts: (cells.x(F.col("lon"), parts), cells.y(F.col("lat"), parts))
     key = ["ax", "ay", "bx", "by"]
-    for parts in (4, FINEST):
-        seen = points.groupBy(*at(parts)).agg(F.min(F.struct("lat", "lon")).alias("w")).select(F.floor(F.col("px") / parts).cast("long").alias("x"), F.floor(F.col("py") / parts).cast("long").alias("y"), "px", "py", "w")
-        a = seen.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("px").alias("apx"), F.col("py").alias("apy"), F.col("w").alias("aw"))
-        b = seen.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("px").alias("bpx"), F.col("py").alias("bpy"), F.col("w").alias("bw"))
-        both = open_pairs.join(a, ["ax", "ay"]).join(b, ["bx", "by"]).where(cells.apart(F.col("apx"), F.col("apy"), F.col("bpx"), F.col("bpy"), parts) <= cells.reach)
+    occupied = points.select(cell(1)[0].alias("x"), cell(1)[1].alias("y")).distinct()
+    open_parts = candidate_cells(occupied, cells.span).where(cells.apart(*map(F.col, key), 1) <= cells.reach)
+    # the parts still open: the pair of cells and the pair of parts, which at first are the cells themselves
+    open_parts = open_parts.select(*key, *(F.col(c).alias(f"p{c}") for c in key))
+    linked, coarse = [], 1
+    for parts in (4, 16, FINEST):
+        finer = parts // coarse
+        seen = points.groupBy(cell(parts)[0].alias("x"), cell(parts)[1].alias("y")).agg(F.min(F.struct("lat", "lon")).alias("w"))
+        side = lambda s: seen.select(F.floor(F.col("x") / finer).cast("long").alias(f"p{s}x"), F.floor(F.col("y") / finer).cast("long").alias(f"p{s}y"), F.col("x").alias(f"q{s}x"), F.col("y").alias(f"q{s}y"), F.col("w").alias(f"{s}w"))  # noqa: B023, E731
+        both = open_parts.join(side("a"), ["pax", "pay"]).join(side("b"), ["pbx", "pby"]).where(cells.apart(F.col("qax"), F.col("qay"), F.col("qbx"), F.col("qby"), parts) <= cells.reach)
         near = haversine(F.col("aw.lat"), F.col("aw.lon"), F.col("bw.lat"), F.col("bw.lon")) <= cells.reach
-        decided = materialize(both.groupBy(*key).agg(F.max(near).alias("near")), "decided")
-        new = decided.where("near").select(*key)
-        linked = new if linked is None else linked.unionByName(new)
-        open_pairs = decided.where(~F.col("near")).select(*key)
-    left = both.join(open_pairs, key, "left_semi").select(*key, "apx", "apy", "bpx", "bpy")
-    mine = points.select(*at(FINEST), "lat", "lon")
-    a = mine.select(F.col("px").alias("apx"), F.col("py").alias("apy"), F.col("lat").alias("ala"), F.col("lon").alias("alo"))
-    b = mine.select(F.col("px").alias("bpx"), F.col("py").alias("bpy"), F.col("lat").alias("bla"), F.col("lon").alias("blo"))
-    last = left.join(a, ["apx", "apy"]).join(b, ["bpx", "bpy"]).where(haversine(F.col("ala"), F.col("alo"), F.col("bla"), F.col("blo")) <= cells.reach)
-    return linked.unionByName(last.select(*key)).distinct()
+        both = both.select(*key, *(F.col(f"q{c}").alias(f"p{c}") for c in key), near.alias("near"))
+        if parts == 4:
+            # most pairs of parts are made here and nearly all cells decided, by the map side's maximum
+            decided = materialize(both.groupBy(*key).agg(F.max("near").alias("near")), "decided")
+            linked.append(decided.where("near").select(*key))
+            open_parts = decided.where(~F.col("near")).select(*key, *(F.col(c).alias(f"p{c}") for c in key))
+            continue
+        # a pair of cells that is linked is said once; of the others all parts go on
+        by_cells = Window.partitionBy(*key)
+        both = both.withColumns({"found": F.max("near").over(by_cells), "r": F.row_number().over(by_cells.orderBy(F.desc("near")))})
+        kept = materialize(both.where(~F.col("found") | (F.col("r") == 1)).drop("near", "r"), "open")
+        linked.append(kept.where("found").select(*key))
+        open_parts = kept.where(~F.col("found")).drop("found")
+        coarse = parts
+    mine = lambda s: points.select(cell(FINEST)[0].alias(f"p{s}x"), cell(FINEST)[1].alias(f"p{s}y"), F.col("lat").alias(f"{s}la"), F.col("lon").alias(f"{s}lo"))
+    last = open_parts.join(mine("a"), ["pax", "pay"]).join(mine("b"), ["pbx", "pby"]).where(haversine(F.col("ala"), F.col("alo"), F.col("bla"), F.col("blo")) <= cells.reach)
+    return reduce(DataFrame.unionByName, [*linked, last.select(*key).distinct()])
 
 
 def clean_code(code: Column) -> Column:
@@ -151,9 +163,9 @@ def full_codes(codes: DataFrame, least: int = 12) -> DataFrame:
 
 def similarity_clusters(
     df: DataFrame, record_id: str, lat: Column, lon: Column, code: Column, reach: float = 100.0, least: int = 3,
-    area: tuple[float, float, float, float] = STUDY_AREA,
+    area: tuple[float, float, float, float] = STUDY_AREA, split: bool = True,
 ) -> dict[str, DataFrame]:
-    """Clusters of records of one place: tables ``members`` and ``cells``.
+    """Clusters of records of one place: tables ``members`` and, with ``split``, ``cells``.
 
     Records with coordinates at most ``reach`` metres apart are in one cluster, and so are records joined through
     others; clusters of fewer than ``least`` such records do not count. A record without coordinates but with a code
@@ -196,6 +208,8 @@ def similarity_clusters(
     homes = full.join(home, "full").select("code", "cluster_id")
     attached = rows.where(~F.col("there")).select("id", "code").join(homes, "code").select("id", "cluster_id", F.lit(False).alias("has_position"))
     members = members.select("id", "cluster_id", F.lit(True).alias("has_position")).unionByName(attached).withColumnRenamed("id", record_id)
+    if not split:
+        return {"members": members}
     cells = labelled.join(_parts(labelled.select("record", "n"), edges), "record")
     by_part = placed.where(F.col("code").isNotNull()).join(cells.select("x", "y", "cluster_id", "part"), ["x", "y"]).groupBy("code", "cluster_id", "part").agg(F.count(F.lit(1)).alias("n"))
     by_part = by_part.join(full, "code").groupBy("full", "cluster_id", "part").agg(F.sum("n").alias("n"))

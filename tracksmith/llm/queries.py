@@ -25,17 +25,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).drop("n")
 
 
-def _venues(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return similarity_clusters(records(spark, folder).where("is_stay"), "id", F.col("pos.lat"), F.col("pos.lon"), F.col("place"), reach=100.0, least=3)
+def _venues(spark: SparkSession, folder: str, split: bool) -> dict[str, DataFrame]:
+    return similarity_clusters(records(spark, folder).where("is_stay"), "id", F.col("pos.lat"), F.col("pos.lon"), F.col("place"), reach=100.0, least=3, split=split)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _venues(spark, folder)["members"].select("id", "cluster_id")
+    return _venues(spark, folder, False)["members"].select("id", "cluster_id")
 
 
 def p5_venues(spark: SparkSession, folder: str) -> DataFrame:
     """Size and most typical record of each venue, loose ones split around their densest spots."""
-    return describe_clusters(_venues(spark, folder)["cells"])
+    return describe_clusters(_venues(spark, folder, True)["cells"])
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
