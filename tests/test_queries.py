@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 # the operators of the subpackage have their own tests
-OWN = {n for part in (entry.preparation, entry.reference) for n in part.QUERIES}
+OWN = {n for part in (entry.preparation, entry.reference, entry.dirty) for n in part.QUERIES}
 
 
 def plain(v):

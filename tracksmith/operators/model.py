@@ -13,7 +13,8 @@ from tracksmith.functions.geo import planar
 from tracksmith.functions.timebins import micros
 from tracksmith.operators.density import density_labels
 from tracksmith.operators.prediction import uniform
-from tracksmith.operators.spatial import in_annulus, in_ellipse, locate
+from tracksmith.operators.spatial import box_wkt, create_grid, filter_layer, in_annulus, locate
+from tracksmith.operators.spatial_join import rings_of
 from tracksmith.operators.statistics import with_bins
 from tracksmith.storage import materialize
 
@@ -148,41 +149,104 @@ def commuting_candidates(homes: DataFrame, works: DataFrame, commuting: DataFram
     return near.where(in_annulus(planar(F.col("hx"), F.col("hy"), F.col("cx"), F.col("cy")), F.col("around"), spread)).select("agent_id", F.col("cell_id").alias("work_id"))
 
 
+def sides_of(wkt: Column) -> Column:
+    """Sides of all rings of a WKT polygon: ``array<struct<x1, y1, x2, y2>>``."""
+
+    @F.pandas_udf("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    def read(wkt: pd.Series) -> pd.Series:
+        side = lambda p, q: {"x1": p[0], "y1": p[1], "x2": q[0], "y2": q[1]}
+        return wkt.map(lambda text: [side(p, q) for rings in rings_of(text) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1])])
+
+    return read(wkt)
+
+
+def meets_ellipse(sides: Column, home_x: Column, home_y: Column, work_x: Column, work_y: Column, spread: float) -> Column:
+    """Whether a polygon (an array of sides, holes included) meets the ellipse of ``in_ellipse``.
+
+    In coordinates in which the ellipse is the unit circle, a side comes as near to the middle as 1, or the middle is
+    inside. Where home is work the ellipse is that point.
+    """
+    dx, dy = work_x - home_x, work_y - home_y
+    a2 = dx * dx + dy * dy
+    wide = a2 > 0
+    dx, dy, a2, reach = F.when(wide, dx).otherwise(1.0), F.when(wide, dy).otherwise(0.0), F.when(wide, a2).otherwise(1.0), F.when(wide, 1.0).otherwise(0.0)
+    u = lambda x, y: ((x - home_x) * dx + (y - home_y) * dy) / a2
+    v = lambda x, y: ((y - home_y) * dx - (x - home_x) * dy) / (a2 * spread)
+    at = F.transform(sides, lambda s: F.struct(u(s["x1"], s["y1"]).alias("u"), v(s["x1"], s["y1"]).alias("v"), u(s["x2"], s["y2"]).alias("p"), v(s["x2"], s["y2"]).alias("q")))
+
+    def near(s: Column) -> Column:
+        du, dv = s["p"] - s["u"], s["q"] - s["v"]
+        size = du * du + dv * dv
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(size == 0, 0.0).otherwise(-(s["u"] * du + s["v"] * dv) / F.when(size != 0, size))))
+        return F.pow(s["u"] + t * du, 2) + F.pow(s["v"] + t * dv, 2) <= reach
+
+    crossed = lambda s: ((s["v"] > 0) != (s["q"] > 0)) & (F.lit(0.0) < (s["p"] - s["u"]) * (0 - s["v"]) / F.when(s["q"] != s["v"], s["q"] - s["v"]) + s["u"])
+    return F.exists(at, near) | (F.size(F.filter(at, lambda s: F.coalesce(crossed(s), F.lit(False)))) % 2 == 1)
+
+
 def generate_activity_areas(agents: DataFrame, layer: DataFrame, spread: float = 0.5, kind: str = "ellipse") -> DataFrame:
-    """MM8: the cells whose centre lies in the ellipse of home and work: ``agent_id, cells`` (array).
+    """MM8: the cells that meet the ellipse of home and work: ``agent_id, cells`` (array).
 
-    ``agents`` has ``agent_id, home_lon, home_lat, work_lon, work_lat``; without work there are no cells.
+    ``agents`` has ``agent_id, home_lon, home_lat, work_lon, work_lat``; without work there are no cells. ``layer`` has ``cell_id,
+    geometry``. Agents and cells have sizes, powers of two; for each pair of sizes that occur they are brought together in
+    squares of the larger one, where an ellipse takes 3 x 3 squares and a cell at most 2 x 2.
     """
     if kind != "ellipse":
         raise ValueError("only 'ellipse' is known")
     ends = [F.col(c) for c in ("home_lon", "home_lat", "work_lon", "work_lat")]
-    near = _within_reach(agents.select("agent_id", "home_lon", "home_lat", "work_lon", "work_lat"), "home_lon", "home_lat", planar(*ends) * max(1.0, spread), layer)
-    found = near.where(in_ellipse(F.col("cx"), F.col("cy"), *ends, spread)).groupBy("agent_id").agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
+    size = lambda c: F.ceil(F.log2(F.greatest(c, F.lit(1e-9)))).cast("int")
+    asked = agents.select("agent_id", *ends).where(planar(*ends).isNotNull()).withColumn("_k", size(planar(*ends) * max(1.0, spread)))
+    least, most = (lambda c: F.array_min(F.transform("sides", lambda s: F.least(s[f"{c}1"], s[f"{c}2"])))), (lambda c: F.array_max(F.transform("sides", lambda s: F.greatest(s[f"{c}1"], s[f"{c}2"]))))
+    cells = layer.select("cell_id", sides_of(F.col("geometry")).alias("sides")).where(F.size("sides") > 0)
+    cells = cells.select("*", least("x").alias("x0"), most("x").alias("x1"), least("y").alias("y0"), most("y").alias("y1"))
+    cells = materialize(cells.withColumn("_c", size(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))), "cells")
+    # one number per power of two
+    agent_sizes, cell_sizes = (F.array(*map(F.lit, v)) if (v := [r[0] for r in df.select(c).distinct().collect()]) else F.array().cast("array<int>") for df, c in ((asked, "_k"), (cells, "_c")))
+    square = lambda v: F.floor(v / F.pow(F.lit(2.0), F.greatest("_k", "_c"))).cast("long")
+    around = F.explode(F.array(*(F.struct((square(F.col("home_lon")) + a).alias("i"), (square(F.col("home_lat")) + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    asked = asked.withColumn("_c", F.explode(cell_sizes)).withColumn("_s", around).select("*", "_s.i", "_s.j")
+    laid = cells.withColumn("_k", F.explode(agent_sizes)).withColumn("i", F.explode(F.sequence(square(F.col("x0")), square(F.col("x1"))))).withColumn("j", F.explode(F.sequence(square(F.col("y0")), square(F.col("y1")))))
+    found = asked.join(laid, ["_k", "_c", "i", "j"]).where(meets_ellipse(F.col("sides"), *ends, spread)).groupBy("agent_id").agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
     return agents.select("agent_id").join(found, "agent_id", "left")
 
 
-def circadian_profiles(df: DataFrame, ranked: DataFrame, weights: bool = True) -> DataFrame:
-    """MM9, first half: ``user_id, slot, hod, share`` for slots 0 home, 1 work, 2 other and all hours of the day.
+def circadian_profiles(df: DataFrame, ranked: DataFrame, weights: bool = True, quantity: int = 2, length: int = 24, aux_cols: tuple[str, ...] = ()) -> DataFrame:
+    """MM9, first half: ``user_id, slot, hod, share`` for the ``quantity`` significant places, the rest, and all hours.
 
-    The share of an hour's records at each slot, or with ``weights=False`` 1 for the slot with most and 0 for the others.
+    Slots are 0 home, 1 work and so on, the last one other places. ``length`` is the cycle in hours (24: hours of the day,
+    168: of the week from Thursday, the first day of the epoch). The share of an hour's records at each slot, or with
+    ``weights=False`` 1 for the slot with most and 0 for the others. With ``aux_cols`` there is a column ``combo`` besides:
+    every combination of their values that the table has (texts, joined by ``|``; rows with a null in one are left out),
+    and shares are over slots and combinations; then ``weights`` is always true.
     """
-    slots = df.join(ranked.select("user_id", "labels", "lon", "lat", "rank"), ["user_id", "labels", "lon", "lat"], "left")
-    slot = F.when(F.col("rank") < 2, F.col("rank")).otherwise(2)
-    counts = slots.where(F.col("labels").isNotNull()).groupBy("user_id", F.hour("datetime").alias("hod"), slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    slots = df.join(ranked.where(F.col("rank") < quantity).select("user_id", "labels", "lon", "lat", "rank"), ["user_id", "labels", "lon", "lat"], "left").where(F.col("labels").isNotNull())
+    hod = F.pmod(F.floor(micros(F.col("datetime")) / HOUR), F.lit(length)).cast("int")
+    combo = F.concat_ws("|", *(F.col(c).cast("string") for c in aux_cols)) if aux_cols else F.lit("")
+    for c in aux_cols:
+        slots = slots.where(F.col(c).isNotNull())
+    counts = slots.groupBy("user_id", hod.alias("hod"), combo.alias("combo"), F.coalesce("rank", F.lit(quantity)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("user_id", "hod")
-    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(by) if weights else (F.row_number().over(by.orderBy(F.desc("n"), "slot")) == 1).cast("double"))
-    grid = counts.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(71))).alias("x")).select("user_id", (F.col("x") % 3).alias("slot"), F.floor(F.col("x") / 3).cast("int").alias("hod"))
-    return grid.join(counts.select("user_id", "slot", "hod", "share"), ["user_id", "slot", "hod"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(by) if weights or aux_cols else (F.row_number().over(by.orderBy(F.desc("n"), "slot")) == 1).cast("double"))
+    hours, places = F.sequence(F.lit(0), F.lit(length - 1)), F.sequence(F.lit(0), F.lit(quantity))
+    # a row for every cell of the profile; the combinations are few
+    combos = F.explode(counts.agg(F.collect_set("combo")).scalar()) if aux_cols else F.lit("")
+    grid = counts.select("user_id").distinct().select("user_id", combos.alias("combo"))
+    grid = grid.select("user_id", "combo", F.explode(places).alias("slot")).select("*", F.explode(hours).alias("hod"))
+    out = grid.join(counts.select("user_id", "slot", "hod", "combo", "share"), ["user_id", "slot", "hod", "combo"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    return out.select("user_id", "slot", "hod", *(["combo"] if aux_cols else []), "share")
 
 
-def cluster_trajectories(profiles: DataFrame, min_samples: int = 4) -> DataFrame:
+def cluster_trajectories(profiles: DataFrame, min_samples: int = 4, weights: bool = True) -> DataFrame:
     """MM9, second half: ``user_id, cluster``: users of like rhythm; -1 is noise.
 
     Two users are as far apart as the earth mover's distance between the values of their profiles: the mean difference of
-    the sorted values. Density clusters are formed over all users at the radius of the best silhouette (if none gives two
-    clusters, at the widest); see ``density_labels``. Users of equal values are one row with their count. Clusters are
+    the sorted values. With ``weights=False`` the values are the leading slots of the hours (0 for an hour without records)
+    instead of the shares. Density clusters are formed over all users at the radius of the best silhouette (if none gives
+    two clusters, at the widest); see ``density_labels``. Users of equal values are one row with their count. Clusters are
     numbered by the least hash of their core users.
     """
+    if not weights:
+        profiles = profiles.groupBy("user_id", "hod").agg(F.max_by("slot", F.struct("share", -F.col("slot"))).cast("double").alias("share"))
     vectors = materialize(profiles.groupBy("user_id").agg(F.array_sort(F.collect_list("share")).alias("v")), "vectors")
     merged = vectors.groupBy("v").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(F.xxhash64("user_id").alias("hash"), "user_id")).alias("first"))
     rows = merged.orderBy("first").select("v", "w").toArrow()
@@ -231,18 +295,18 @@ class MobilityModel:
     rhythm: DataFrame
     layer: DataFrame
 
-    def generate(self, start: str, days: int, seed: int = 0, weighted: bool = True) -> DataFrame:
-        return data_generator(self.agents, self.rhythm, self.layer, start, days, seed, weighted)
+    def generate(self, start: str, days: int | None = None, seed: int = 0, weighted: bool = True, end: str | None = None) -> DataFrame:
+        return data_generator(self.agents, self.rhythm, self.layer, start, days, seed, weighted, end)
 
 
 def fit_mobility_model(df: DataFrame, layer: DataFrame, agents: int = 217, weighted: bool = True, spread: float = 0.05, seed: int = 0) -> MobilityModel:
     """MM13: significant places, clusters of rhythm, home and work densities and commutes of each cluster, and its agents.
 
-    ``df`` has ``labels``; ``layer`` has ``cell_id, geometry, cx, cy``. Each cluster gets its share of the agents.
+    ``df`` has ``labels``; ``layer`` has ``cell_id, geometry, cx, cy``. Each cluster gets its share of the agents, rounded up.
     """
     ranked = rank_freq(df, 2)
     profiles = materialize(circadian_profiles(df, ranked, weighted), "profiles")
-    clusters = materialize(cluster_trajectories(profiles), "clusters")
+    clusters = materialize(cluster_trajectories(profiles, weights=weighted), "clusters")
     located = materialize(ranked.join(locate(ranked, layer), ["lon", "lat"]).join(clusters.where("cluster >= 0"), "user_id").select("user_id", "cluster", "rank", "lon", "lat", "cell_id"), "places")
 
     def density(rank: int) -> DataFrame:
@@ -251,12 +315,25 @@ def fit_mobility_model(df: DataFrame, layer: DataFrame, agents: int = 217, weigh
 
     far = commute_distances(located).where("rank_a = 0 and rank_b = 1").select("user_id", "distance")
     commutes = located.where("rank = 0").join(far, "user_id").groupBy("cluster", "cell_id").agg(F.median("distance").alias("value"))
-    amounts = cluster_shares(clusters).select("cluster", F.greatest(F.round(F.col("share") * agents), F.lit(1)).alias("amount"))
+    amounts = cluster_shares(clusters).select("cluster", F.ceil(F.round(F.col("share") * agents, 9)).alias("amount"))
     homes = materialize(generate_points_from_distribution(density(0).join(amounts, "cluster"), F.col("amount"), seed), "homes")
     works = select_points_with_commuting(homes, density(1), commutes, spread, seed)
     return MobilityModel(generate_agents(homes, works, spread, layer), materialize(circadian_rhythm_extraction(profiles, clusters, weighted), "rhythm"), layer)
 
 
+def data_sampler(t, aggregation: int | float | DataFrame, weighted: bool = True, agents: int = 217, spread: float = 0.05, seed: int = 0) -> MobilityModel:
+    """MM13 from a ``Trajectories``: its layer is a grid of that resolution in metres, or a polygon layer (``cell_id, geometry, cx, cy``).
+
+    Geographic coordinates become EPSG:3857 first; the layer must be in the system of the result. Only cells with records count.
+    """
+    if t.crs == "EPSG:4326":
+        t = t.to_crs("EPSG:3857")
+    layer = aggregation
+    if not isinstance(aggregation, DataFrame):
+        layer = create_grid(t.df, aggregation).withColumn("geometry", box_wkt(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
+    return fit_mobility_model(t.df, materialize(filter_layer(layer, t.df), "layer"), agents, weighted, spread, seed)
+
+
 def when(rhythm: DataFrame) -> DataFrame:
     """MM15, the table to draw from: ``cluster, hod, s0, s1, s2``: shares of home, work and other."""
     pick = lambda s: F.coalesce(F.max(F.when(F.col("slot") == s, F.col("share"))), F.lit(0.0)).alias(f"s{s}")
@@ -268,9 +345,16 @@ def where(slot: Column, home: Column, work: Column, other: Column) -> Column:
     return F.coalesce(F.when(slot == 0, home).when(slot == 1, work).otherwise(other), home)
 
 
-def data_generator(agents: DataFrame, rhythm: DataFrame, layer: DataFrame, start: str, days: int, seed: int = 0, weighted: bool = True) -> DataFrame:
-    """MM14: hourly places of all agents: ``agent_id, datetime, slot, lon, lat``, from ``start`` for ``days`` days and one slot."""
+def data_generator(agents: DataFrame, rhythm: DataFrame, layer: DataFrame, start: str, days: int | None = None, seed: int = 0, weighted: bool = True, end: str | None = None) -> DataFrame:
+    """MM14: hourly places of all agents: ``agent_id, datetime, slot, lon, lat``, from ``start`` for ``days`` days and one slot.
+
+    Without ``days`` they are the whole days from ``start`` to ``end``.
+    """
     t0 = micros(F.lit(start).cast("timestamp"))
+    if days is None:
+        if end is None:
+            raise ValueError("give days or end")
+        days = F.floor((micros(F.lit(end).cast("timestamp")) - t0) / (24 * HOUR))
     slots = agents.withColumn("_t", F.explode(F.sequence(t0, t0 + days * 24 * HOUR, F.lit(HOUR)))).withColumn("hod", F.pmod(F.floor(F.col("_t") / HOUR), F.lit(24)).cast("int"))
     drawn = slots.join(F.broadcast(when(rhythm)), ["cluster", "hod"], "left")
     total = F.col("s0") + F.col("s1") + F.col("s2")

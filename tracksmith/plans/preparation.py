@@ -96,6 +96,12 @@ def apart(a: str, b: str, c: str, d: str) -> str:
     return _APART.format(a=a, b=b, c=c, d=d)
 
 
+#: Sides of the polygons of ``area_layer`` in SQL.
+SIDES = """rings as (select cell_id, xmin, ymin, xmax, ymax, unnest(regexp_extract_all(geometry, '\\(([^()]+)\\)', 1)) ring from area_layer),
+pts as (select cell_id, xmin, ymin, xmax, ymax, ring, list_transform(string_split(ring, ','), lambda t: string_split(trim(t), ' ')) l from rings),
+edges as (select cell_id, xmin, ymin, xmax, ymax, unnest(range(1, len(l))) i, l from pts),
+sides as (select cell_id, xmin, ymin, xmax, ymax, l[i][1]::double x1, l[i][2]::double y1, l[i + 1][1]::double x2, l[i + 1][2]::double y2 from edges)"""
+
 SQL = {
     "p1_found": """
 with u as (select distinct user_id, epoch_us("start") s, epoch_us("end") e from preprocessed_stops_sample where user_id is not null and "end" >= "start"),
@@ -127,10 +133,7 @@ select g.user_id, g.hour, case when d.hour is not null then 'reading' when g.hou
 from g left join d on g.user_id = d.user_id and g.hour = d.hour""",
     "p7_found": POSITIONS
     + """, st as (select id, la, lo from pos where is_stay and la is not null),
-rings as (select cell_id, xmin, ymin, xmax, ymax, unnest(regexp_extract_all(geometry, '\\(([^()]+)\\)', 1)) ring from area_layer),
-pts as (select cell_id, xmin, ymin, xmax, ymax, ring, list_transform(string_split(ring, ','), lambda t: string_split(trim(t), ' ')) l from rings),
-edges as (select cell_id, xmin, ymin, xmax, ymax, unnest(range(1, len(l))) i, l from pts),
-sides as (select cell_id, xmin, ymin, xmax, ymax, l[i][1]::double x1, l[i][2]::double y1, l[i + 1][1]::double x2, l[i + 1][2]::double y2 from edges)
+""" + SIDES + """
 select id, 'cell' as target_kind, cell_id as target_id from st join sides on lo between xmin and xmax and la between ymin and ymax
 where (y1 > la) <> (y2 > la) and lo < (x2 - x1) * (la - y1) / (y2 - y1) + x1 group by id, cell_id having count(*) % 2 = 1
 union all select id, 'landmark', landmark_id from st join landmarks m on m.lat between la - 0.001 and la + 0.001 and m.lon between lo - 0.001 and lo + 0.001 where """

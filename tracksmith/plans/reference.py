@@ -1,11 +1,13 @@
 """Queries of the mobility operators over the driver tables, and their SQL.
 
-The tables have no planar trajectory, so one is made from ``events`` in the same way on both sides: the number k in
-``props`` is a place on a lattice of 10 x 10 points 1000 m apart.
+One planar trajectory is made from ``events`` in the same way on both sides: the number k in ``props`` is a place on a
+lattice of 10 x 10 points 1000 m apart. It is clean; the dirty tables are in ``plans.dirty``, which runs the same
+queries over them: a folder of the class ``Binned`` or ``Symbols`` stands for ``aggregated_trajectory`` or ``symbol_sequences``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +33,49 @@ stays as (select user_id, datetime, seq, labels, lon, lat, datetime as "start",
 """
 
 
+class Binned(str):
+    """A data folder whose trajectory is ``aggregated_trajectory``: hourly bins, a fifth of them without place."""
+
+    def trajectory(self, spark: SparkSession) -> DataFrame:
+        df = table(spark, self, "aggregated_trajectory")
+        at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+        rows = df.select("user_id", at("datetime"), F.floor(F.unix_micros("datetime") / 3_600_000_000).cast("long").alias("seq"), "labels", "lon", "lat", F.col("temp").alias("v"), at("start"), at("end"))
+        return rows.distinct()
+
+
+class Symbols(str):
+    """A data folder whose trajectory is ``symbol_sequences``: labels without places, some missing."""
+
+    def trajectory(self, spark: SparkSession) -> DataFrame:
+        df = table(spark, self, "symbol_sequences")
+        rows = df.select("user_id", F.col("datetime").cast("timestamp_ntz").alias("datetime"), F.floor(F.unix_micros("datetime") / 3_600_000_000).cast("long").alias("seq"), "labels")
+        return rows.distinct().withColumns({"lon": F.lit(0.0), "lat": F.lit(0.0)})
+
+
 def traj(spark: SparkSession, folder: str) -> DataFrame:
+    if isinstance(folder, (Binned, Symbols)):
+        return folder.trajectory(spark)
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     df = table(spark, folder, "events").select("user_id", F.col("ts").alias("datetime"), F.col("event_id").alias("seq"), k.alias("labels"), F.col("value").alias("v"))
     return df.select("user_id", "datetime", "seq", "labels", (F.col("labels") % 10 * 1000.0).alias("lon"), (F.floor(F.col("labels") / 10) * 1000.0).alias("lat"), "v")
 
 
 def gaps(spark: SparkSession, folder: str) -> DataFrame:
+    if isinstance(folder, (Binned, Symbols)):
+        return folder.trajectory(spark)
     there = F.col("labels") % 7 != 0
     return traj(spark, folder).select("user_id", "datetime", "seq", *(F.when(there, F.col(c)).alias(c) for c in ("labels", "lon", "lat")), "v")
 
 
 def coarse(spark: SparkSession, folder: str) -> DataFrame:
+    if isinstance(folder, (Binned, Symbols)):
+        return folder.trajectory(spark)
     return traj(spark, folder).withColumn("labels", F.col("labels") % 4).withColumns({"lon": F.col("labels") * 1000.0, "lat": F.lit(0.0)})
 
 
 def stays(spark: SparkSession, folder: str) -> DataFrame:
+    if isinstance(folder, (Binned, Symbols)):
+        return folder.trajectory(spark)
     df = traj(spark, folder)
     end = F.timestamp_micros(F.unix_micros(F.col("datetime").cast("timestamp")) + F.round(F.col("v") * 60000000).cast("long")).cast("timestamp_ntz")
     return df.select("user_id", "datetime", "seq", "labels", "lon", "lat", F.col("datetime").alias("start"), end.alias("end"))
@@ -83,7 +112,6 @@ select user_id, n_places, round(entropy, 6) as entropy, round(radius, 6) as radi
 (select user_id, sqrt(avg((lon - cx) * (lon - cx) + (lat - cy) * (lat - cy))) radius from moves join centre using (user_id) group by 1) using (user_id)""")
 
 # sources and selection
-add("io1_checkins", lambda s, d: Trajectories.from_df(table(s, d, "raw_checkins"), user="id").df.select("user_id", F.unix_seconds(F.col("datetime").cast("timestamp")).alias("t"), "place").where("user_id is not null and t is not null and place is not null").groupBy("user_id").agg(F.count_distinct("place").alias("n_places")))
 add("sc4_uloc", lambda s, d: Trajectories.from_df(traj(s, d)).uloc([3, 5, 8]).df.select("user_id", "datetime", "labels"), "select user_id, datetime, labels from traj where user_id in (3, 5, 8)")
 add("sc5_users", lambda s, d: Trajectories.from_df(traj(s, d)).get_users(), "select distinct user_id from traj")
 add("sc7_quality_filter", lambda s, d: Trajectories.from_df(traj(s, d)).uloc(us.user_quality(traj(s, d), "1D").where("n_records >= 60 and duration > 20")).df.select("user_id", "datetime"),
@@ -221,7 +249,6 @@ for _how, _c in (("incoming", "i"), ("outgoing", "o"), ("all", "i + o")):
 # sources
 from tracksmith.sources.checkins import clean_checkins  # noqa: E402
 
-QUERIES.pop("io1_checkins")
 add("io1_checkins", lambda s, d: clean_checkins(table(s, d, "raw_checkins")).select("user_id", F.unix_seconds("datetime").alias("t"), "lon", "lat", "place"), """
 with t as (select id, case when regexp_full_match(trim(datetime), '[0-9]{9,11}') then try_cast(trim(datetime) as bigint)
   when datetime like '____-__-__T__:__:__Z' then epoch_us(try_strptime(datetime, '%Y-%m-%dT%H:%M:%SZ')) // 1000000
@@ -352,10 +379,17 @@ def _agents(s: SparkSession, d: str) -> DataFrame:
     return places.select(F.col("user_id").alias("agent_id"), F.col("lon_0").alias("home_lon"), F.col("lat_0").alias("home_lat"), F.col("lon_1").alias("work_lon"), F.col("lat_1").alias("work_lat"))
 
 
-add("mm8_activity_areas", lambda s, d: mm.generate_activity_areas(_agents(s, d), _layer(s, d), 0.5).select("agent_id", F.coalesce(F.array_join(F.transform("cells", lambda x: x.cast("string")), ","), F.lit("")).alias("cells")), _LAYER + _RANK + """, ag as (select user_id, max(lon) filter ("rank" = 0) hx, max(lat) filter ("rank" = 0) hy, max(lon) filter ("rank" = 1) wx, max(lat) filter ("rank" = 1) wy from rk group by 1),
-el as (select *, sqrt((wx - hx) * (wx - hx) + (wy - hy) * (wy - hy)) a from ag), hit as (select user_id, cell_id from el, layer where a > 0 and
-  power(((cx - hx) * (wx - hx) + (cy - hy) * (wy - hy)) / a / a, 2) + power(((cy - hy) * (wx - hx) - (cx - hx) * (wy - hy)) / a / (a * 0.5), 2) <= 1)
-select user_id as agent_id, coalesce(string_agg(cell_id::varchar, ',' order by cell_id), '') as cells from ag left join hit using (user_id) group by 1""")
+#: The cells that meet the ellipse of home and work: one of their sides comes near the middle of the unit circle, or the middle is inside.
+MET = """,
+ag as (select user_id, max(lon) filter ("rank" = 0) hx, max(lat) filter ("rank" = 0) hy, max(lon) filter ("rank" = 1) wx, max(lat) filter ("rank" = 1) wy from rk group by 1),
+el as (select user_id, hx, hy, case when a2 > 0 then wx - hx else 1 end dx, case when a2 > 0 then wy - hy else 0 end dy, case when a2 > 0 then a2 else 1 end a2, case when a2 > 0 then 1 else 0 end r
+  from (select *, (wx - hx) * (wx - hx) + (wy - hy) * (wy - hy) a2 from ag where wx is not null)),
+uv as (select user_id, cell_id, r, ((x1 - hx) * dx + (y1 - hy) * dy) / a2 u1, ((y1 - hy) * dx - (x1 - hx) * dy) / (a2 * 0.5) v1, ((x2 - hx) * dx + (y2 - hy) * dy) / a2 u2, ((y2 - hy) * dx - (x2 - hx) * dy) / (a2 * 0.5) v2 from el, sides),
+ts as (select *, greatest(0, least(1, coalesce(-(u1 * (u2 - u1) + v1 * (v2 - v1)) / nullif((u2 - u1) * (u2 - u1) + (v2 - v1) * (v2 - v1), 0), 0))) t from uv),
+hit as (select user_id, cell_id from ts group by 1, 2 having bool_or(pow(u1 + t * (u2 - u1), 2) + pow(v1 + t * (v2 - v1), 2) <= r)
+  or count(*) filter ((v1 > 0) <> (v2 > 0) and 0 < (u2 - u1) * (0 - v1) / (v2 - v1) + u1) % 2 = 1)
+select user_id as agent_id, coalesce(string_agg(cell_id::varchar, ',' order by cell_id), '') as cells from ag left join hit using (user_id) group by 1"""
+add("mm8_activity_areas", lambda s, d: mm.generate_activity_areas(_agents(s, d), _layer(s, d), 0.5).select("agent_id", F.coalesce(F.array_join(F.transform("cells", lambda x: x.cast("string")), ","), F.lit("")).alias("cells")), _LAYER + _RANK + """, sides as (select cell_id, unnest([xmin, xmax, xmax, xmin]) x1, unnest([ymin, ymin, ymax, ymax]) y1, unnest([xmax, xmax, xmin, xmin]) x2, unnest([ymin, ymax, ymax, ymin]) y2 from layer)""" + MET)
 add("mm14_simulation", lambda s, d: mm.fit_mobility_model(traj(s, d), _layer(s, d), agents=60, spread=0.5).generate("2024-02-01", 2, 1))
 add("mm18_best_week", lambda s, d: rounded(mm.best_window(traj(s, d)), "empty"), """, h as (select distinct user_id, epoch_us(datetime) // 3600000000 h from traj), g as (select user_id, unnest(range(min(h), max(h) + 1)) h from h group by 1),
 r as (select g.user_id, g.h, avg((h.h is null)::int) over w e, count(*) over w k from g left join h on g.user_id = h.user_id and g.h = h.h window w as (partition by g.user_id order by g.h rows between 167 preceding and current row))
@@ -369,9 +403,9 @@ from tracksmith.storage import shared_dir  # noqa: E402
 
 def _written(s: SparkSession, d: str, how: str) -> str:
     """A folder of the session that the trajectory has just been written to."""
-    path = f"{shared_dir(s)}/tracksmith-{s.sparkContext.applicationId}/{how}"
+    path = f"{shared_dir(s)}/tracksmith-{s.sparkContext.applicationId}/{how}-{uuid.uuid4().hex}"
     t = Trajectories.from_df(traj(s, d), crs="EPSG:3857")
-    {"parquet": t.write_parquet, "csv": t.write_csv, "wkt": t.write_wkt}[how](path, "overwrite")
+    {"parquet": t.write_parquet, "csv": t.write_csv, "wkt": t.write_wkt}[how](path)
     return path
 
 
