@@ -30,3 +30,15 @@ def test_checkins(spark):
     rows = [(1, "2024-03-04 17:50:38", 10.0, 20.0, "a")] * 2 + [(1, "2024-03-04 17:50:38", 0.0, 0.0, "a"), (None, "2024-03-04 17:50:38", 1.0, 1.0, "a"), (2, "never", 1.0, 1.0, None), (3, "1709590856", float("nan"), 1.0, None)]
     got = sorted((r["user_id"], r["lat"] is None, r["lon"] is None) for r in clean_checkins(spark.createDataFrame(rows, "id long, datetime string, lat double, lon double, place string")).collect())
     assert got == [(1, False, False), (1, True, True), (3, True, False)]
+
+
+def test_layer_in_another_system_and_by_lines(spark, tmp_path):
+    from tracksmith.sources.layers import to_crs
+
+    square = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]
+    lines = [json.dumps({"type": "Feature", "properties": {"code": str(i)}, "geometry": {"type": "Polygon", "coordinates": square}}) for i in range(3)]
+    (tmp_path / "l.jsonl").write_text("\n".join(lines))
+    layer = read_geojson(spark, str(tmp_path / "l.jsonl"), "code", lines=True)
+    assert sorted(r["cell_id"] for r in layer.collect()) == [0, 1, 2]
+    moved = to_crs(to_crs(layer, "EPSG:4326", "EPSG:3857"), "3857", "4326").first()
+    assert abs(moved["cx"] - 2) < 1e-9 and abs(moved["xmax"] - 4) < 1e-9

@@ -44,7 +44,7 @@ def wkt_y(geometry: Column) -> Column:
 
 
 def position(lat: Column, lon: Column, geometry: Column, area: tuple[float, float, float, float] = STUDY_AREA) -> Column:
-    """``struct<lat, lon>`` of a record, or null.
+    """G2: ``struct<lat, lon>`` of a record, or null.
 
     ``lat``/``lon`` count if they are a point of the area as they stand or exchanged; otherwise the point of
     ``geometry`` (x = lon, y = lat, or exchanged); otherwise there is none. NaN is in no area.
@@ -77,5 +77,5 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Euclidean distance in the units of the coordinates."""
+    """G3: Euclidean distance in the units of the coordinates."""
     return F.hypot(x2 - x1, y2 - y1)

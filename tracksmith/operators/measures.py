@@ -15,6 +15,7 @@ PLACE = ("user_id", "lon", "lat")
 
 
 def _there(df: DataFrame) -> DataFrame:
+    """G5: the records with a place."""
     return df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
 
 

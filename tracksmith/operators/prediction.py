@@ -240,9 +240,10 @@ def sparse_wrapper(df: DataFrame, test_size: float = 0.2, max_length: int | None
 
 
 def iterate_random_values(space: dict[str, list], n_check: int, seed: int = 0) -> list[dict]:
-    """PD20: ``n_check`` settings drawn, with replacement, from all combinations of a parameter space."""
+    """PD20: ``n_check`` settings drawn, with replacement, from all combinations of a parameter space; each is listed once."""
     rng = random.Random(seed)
-    return [{k: rng.choice(v) for k, v in space.items()} for _ in range(n_check)]
+    drawn = [{k: rng.choice(v) for k, v in space.items()} for _ in range(n_check)]
+    return [s for i, s in enumerate(drawn) if s not in drawn[:i]]
 
 
 class NearestWindows:

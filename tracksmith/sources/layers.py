@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracksmith.functions.projections import known, reproject
 from tracksmith.operators.spatial_join import rings_of
+from tracksmith.operators.trajectory import UnsupportedCrs
 
 
 def layer(df: DataFrame, cell_id: str, geometry: str) -> DataFrame:
-    """``cell_id, geometry, xmin, ymin, xmax, ymax, cx, cy`` of a table with WKT polygons; ``cx, cy`` is the centre of area.
+    """IO7: ``cell_id, geometry, xmin, ymin, xmax, ymax, cx, cy`` of a table with WKT polygons; ``cx, cy`` is the centre of area.
 
     Holes count as holes. Rows whose text is no polygon are left out.
     """
@@ -41,10 +44,35 @@ def layer(df: DataFrame, cell_id: str, geometry: str) -> DataFrame:
     return measured.where(F.col("m.xmin").isNotNull()).select("cell_id", "geometry", "m.*")
 
 
-def read_geojson(spark: SparkSession, path: str, cell_id: str | None = None) -> DataFrame:
-    """A layer from a GeoJSON feature collection; ``cell_id`` names a property, else features are numbered as they stand."""
-    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("n", "f"))
+def to_crs(df: DataFrame, here: str, there: str) -> DataFrame:
+    """A layer (``cell_id, geometry``) in another system, vertex by vertex, measured anew; see ``Trajectories.to_crs`` for those known."""
+    here, there = ("".join(filter(str.isdigit, c)) for c in (here, there))
+    if not (known(here) and known(there)):
+        raise UnsupportedCrs(f"from {here} to {there}")
+
+    @F.pandas_udf("string")
+    def moved(wkt: pd.Series) -> pd.Series:
+        def ring(points) -> str:
+            x, y = reproject(*np.array([*points, points[0]], float).T, here, there)
+            return "(" + ", ".join(f"{a!r} {b!r}" for a, b in zip(x.tolist(), y.tolist())) + ")"
+
+        return wkt.map(lambda text: "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(ring, rings)) + ")" for rings in rings_of(text)) + ")" if rings_of(text) else None)
+
+    return layer(df.select("cell_id", moved("geometry").alias("geometry")).where(F.col("geometry").isNotNull()), "cell_id", "geometry")
+
+
+def read_geojson(spark: SparkSession, path: str, cell_id: str | None = None, lines: bool = False) -> DataFrame:
+    """IO7: a layer from a GeoJSON feature collection; ``cell_id`` names a property, else features are numbered as they stand.
+
+    With ``lines`` there is a feature in every line instead, read in parallel, and ``cell_id`` must be named.
+    """
+    feature = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
+    if lines:
+        if cell_id is None:
+            raise ValueError("name the property with the id")
+        features = spark.read.text(path).select(F.lit(0).alias("n"), F.from_json("value", feature).alias("f"))
+    else:
+        features = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path).select(F.posexplode("features").alias("n", "f"))
     number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     pairs = F.regexp_replace("f.geometry.coordinates", rf"\[\s*{number}\s*,\s*{number}\s*(?:,[^\[\]]*)?\]", "$1 $2")
     wkt = F.concat(F.upper("f.geometry.type"), F.lit(" "), F.translate(pairs, "[]", "()"))
