@@ -108,3 +108,27 @@ def test_fano(spark, n, s):
         assert x == pytest.approx(1 / n)
     else:
         assert -(x * math.log2(x) + (1 - x) * math.log2(1 - x)) + (1 - x) * math.log2(n - 1) == pytest.approx(s, abs=1e-9)
+
+
+def test_match_lengths_by_the_automaton():
+    import random
+
+    from tracksmith.operators.sequences import match_lengths_of
+
+    def brute(x):
+        out = []
+        for i in range(len(x)):
+            k = 0
+            while i + k < len(x) and any(x[j : j + k + 1] == x[i : i + k + 1] for j in range(0, i - k)):
+                k += 1
+            out.append(k + 1)
+        return out
+
+    rng = random.Random(3)
+    for _ in range(400):
+        x = [rng.randrange(rng.choice([1, 2, 3, 6])) for _ in range(rng.randrange(0, 40))]
+        if rng.random() < 0.3:
+            x = x[: len(x) // 3] * 3
+        assert match_lengths_of(x) == brute(x)
+    # a long periodic sequence takes no more than its length
+    assert match_lengths_of([0, 1] * 100_000)[-1] == 2

@@ -64,7 +64,7 @@ def test_british_grid_to_mercator(spark):
     t = Trajectories.from_df(df, crs="EPSG:27700").to_crs("EPSG:3857")
     got = [tuple(r[2:4]) for r in t.df.orderBy("datetime").collect()]
     # Westminster, known to some metres
-    assert t.crs == "EPSG:3857" and abs(got[0][0] + 14_189) < 40 and abs(got[0][1] - 6_710_500) < 700 and got[1] == (None, None)
+    assert t.crs == "EPSG:3857" and abs(got[0][0] + 14_287) < 10 and abs(got[0][1] - 6_710_933) < 10 and got[1] == (None, None)
     back = t.to_crs("EPSG:27700").df.orderBy("datetime").first()
     assert abs(back["lon"] - 530000.5) < 1e-3 and abs(back["lat"] - 180000.25) < 1e-3
 

@@ -64,35 +64,46 @@ def next_location_sequence(df: DataFrame) -> DataFrame:
     return there.withColumn("_new", changed(there, "lon", "lat")).where("_new").drop("_new")
 
 
-def stop_detection(df: DataFrame, distance_condition: float = 300, time_condition: str | None = "10 min", crs: str = "EPSG:4326", emit_tail: bool = False) -> DataFrame:
+def stop_detection(df: DataFrame, distance_condition: float = 300, time_condition: str | None = "10 min", crs: str = "EPSG:4326", emit_tail: bool = False, pieces: int = 256) -> DataFrame:
     """FI3, FI4: anchor scan: ``df`` with ``stop_id`` and ``is_stop``; records of a stop get its mean coordinates.
 
     From an anchor the scan goes on while records are at most ``distance_condition`` metres from the anchor. Where one is
     farther, the records before it are a stop if there are at least two and they last longer than ``time_condition``;
     it becomes the next anchor. The run at the end is no stop unless ``emit_tail``. Only time, projected coordinates
     and a row number of the user go through the sequential kernel; the rest stays in Spark.
+
+    A step of more than twice the distance leads away from any anchor, so the record after it is an anchor whatever came
+    before: there a user's records are cut, and every ``pieces`` pieces are a group of their own.
     """
     x, y = (F.col("lon"), F.col("lat")) if crs.endswith("3857") else to_mercator(F.col("lon"), F.col("lat"))
     least = micros_of(time_condition) if time_condition else None
     rows = df.withColumn("_n", F.row_number().over(in_time(df)))
     slim = rows.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("user_id", "_n", micros(F.col("datetime")).alias("t"), x.alias("x"), y.alias("y"))
     limit = float(distance_condition)
+    w = Window.partitionBy("user_id").orderBy("_n")
+    away = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) > 2.000001 * limit, F.lit(False))
+    slim = slim.withColumn("_away", away).withColumn("_g", F.floor(F.sum(F.col("_away").cast("int")).over(w) / pieces)).drop("_away")
+    slim = slim.withColumn("_end", F.max("_g").over(Window.partitionBy("user_id")) == F.col("_g"))
 
     def scan(pdf):
         pdf = pdf.sort_values("_n")
         t, xs, ys = pdf["t"].tolist(), pdf["x"].tolist(), pdf["y"].tolist()
         n, s, number, ids = len(t), 0, 0, [None] * len(t)
-        ends = [e for e in (n,) if emit_tail]
+        ends = [e for e in (n,) if emit_tail or not pdf["_end"].iloc[0]]
         for e in [*range(1, n), *ends]:
             if e == n or ((xs[e] - xs[s]) ** 2 + (ys[e] - ys[s]) ** 2) ** 0.5 > limit:
                 if e - s > 1 and (least is None or t[e - 1] - t[s] > least):
                     number += 1
                     ids[s:e] = [number] * (e - s)
                 s = e
-        return pdf.assign(stop_id=ids)[["user_id", "_n", "stop_id"]].astype({"stop_id": "Int64"})
+        return pdf.assign(stop_id=ids)[["user_id", "_n", "_g", "stop_id"]].astype({"stop_id": "Int64"})
 
     kind = dict(df.dtypes)["user_id"]
-    found = slim.groupBy("user_id").applyInPandas(scan, f"user_id {kind}, _n int, stop_id long").where(F.col("stop_id").isNotNull())
+    found = slim.groupBy("user_id", "_g").applyInPandas(scan, f"user_id {kind}, _n int, _g long, stop_id long").where(F.col("stop_id").isNotNull())
+    # stops are numbered by group; those of the groups before are added
+    before = found.groupBy("user_id", "_g").agg(F.max("stop_id").alias("n"))
+    before = before.select("user_id", "_g", F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    found = found.join(before, ["user_id", "_g"]).select("user_id", "_n", (F.col("stop_id") + F.col("before")).alias("stop_id"))
     joined = rows.join(found, ["user_id", "_n"], "left")
     w = Window.partitionBy("user_id", "stop_id")
     mean = lambda c: F.when(F.col("stop_id").isNotNull(), F.avg(c).over(w)).otherwise(F.col(c))

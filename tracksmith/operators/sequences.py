@@ -41,16 +41,49 @@ def _split(df: DataFrame, pairs: DataFrame, limit: int) -> tuple[DataFrame, Data
 def match_lengths_of(symbols: list[int]) -> list[int]:
     """1 + length of the longest part that begins at each place and occurs whole before it.
 
-    The part at the next place is at most one shorter, so lengths only grow from there, by searches in text.
+    In time proportional to the length: a suffix automaton of what lies before grows along, and the part at the next
+    place is at most one shorter, so the match only loses its first symbol and goes on from there.
     """
-    codes = {s: chr(0x100 + k if k < 0xD700 else 0x10000 + k) for k, s in enumerate(dict.fromkeys(symbols))}
-    text = "".join(codes[s] for s in symbols)
-    out, k, n = [], 0, len(symbols)
+    follow: list[dict[int, int]] = [{}]
+    link, longest = [-1], [0]
+    last = state = k = 0
+    out, n = [], len(symbols)
     for i in range(n):
-        k = max(k - 1, 0)
-        while i + k < n and text.find(text[i : i + k + 1], 0, i) >= 0:
+        if k:
+            k -= 1
+            if longest[link[state]] >= k:
+                state = link[state]
+            if not k:
+                state = 0
+        while i + k < n and symbols[i + k] in follow[state]:
+            state = follow[state][symbols[i + k]]
             k += 1
         out.append(k + 1)
+        # the symbol at i now lies before
+        c, new = symbols[i], len(follow)
+        follow.append({})
+        longest.append(longest[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if longest[p] + 1 == longest[q]:
+                link[new] = q
+            else:
+                clone = len(follow)
+                follow.append(dict(follow[q]))
+                longest.append(longest[p] + 1)
+                link.append(link[q])
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = clone
+                    p = link[p]
+                link[q] = link[new] = clone
+                if state == q and k <= longest[clone]:
+                    state = clone
+        last = new
     return out
 
 
@@ -333,10 +366,7 @@ def align(a: list, b: list) -> tuple[float, list[int]]:
         opened[m] = 0
         up[i, 1:] = np.maximum(np.maximum(pair[i - 1, 1:], left[i - 1, 1:]) - opened[1:], up[i - 1, 1:])
         cost = 0 if i == n else 1
-        run = low
-        for j in range(1, m + 1):
-            run = max(max(pair[i, j - 1], up[i, j - 1]) - cost, run)
-            left[i, j] = run
+        left[i, 1:] = np.maximum.accumulate(np.maximum(pair[i, :-1], up[i, :-1]) - cost)
     i, j, partner = n, m, [-1] * m
     state = int(np.argmax([pair[n, m], up[n, m], left[n, m]]))
     score = float(max(pair[n, m], up[n, m], left[n, m]))

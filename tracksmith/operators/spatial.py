@@ -20,12 +20,6 @@ def resolution_to_points(resolution: float, c_max: float, c_min: float) -> int:
     return math.ceil((c_max - c_min) / resolution + 1)
 
 
-def moving_average(df: DataFrame, value: str, order: str, n: int = 2) -> DataFrame:
-    """SP10: mean of each ``n`` successive values; rows without ``n`` values before them drop out."""
-    w = Window.orderBy(order).rowsBetween(-(n - 1), 0)
-    return df.select(order, F.avg(value).over(w).alias("value"), F.count(value).over(w).alias("_n")).where(F.col("_n") == n).drop("_n")
-
-
 def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """``number``: place of each row in the order, from 0. Sorted and counted by ranges; only their sizes reach the driver."""
     ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ranges")
@@ -38,6 +32,20 @@ def number_rows(df: DataFrame, *order: str) -> DataFrame:
     return ranged.withColumn("number", offset + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).drop("_p")
 
 
+def moving_average(df: DataFrame, value: str, order: str, n: int = 2, block: int = 1_000_000) -> DataFrame:
+    """SP10: mean of each ``n`` successive values; rows without ``n`` values before them drop out.
+
+    Rows are numbered by ranges and averaged in blocks, each with the last rows of the one before.
+    """
+    block = max(block, n)
+    rows = number_rows(df.select(F.col(order).alias("_o"), F.col(value).alias("_v")), "_o")
+    own = F.floor(F.col("number") / block)
+    copies = F.when(F.pmod("number", F.lit(block)) >= block - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy("_b").orderBy("number").rowsBetween(-(n - 1), 0)
+    rows = rows.withColumns({"_own": own, "_b": F.explode(copies)}).withColumns({"value": F.avg("_v").over(w), "_n": F.count("_v").over(w)})
+    return rows.where((F.col("_n") == n) & (F.col("_b") == F.col("_own"))).select(F.col("_o").alias(order), "value")
+
+
 def to_labels(df: DataFrame) -> DataFrame:
     """SP8: ``labels``: number of the place by first appearance in order of user and time; null without a place."""
     seq = ["seq"] if "seq" in df.columns else []

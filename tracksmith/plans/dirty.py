@@ -56,7 +56,7 @@ over(Binned, "binned", PLACED, "mobility_profile", "pr7_distribution", "fi2_next
      "mm3_commute_distances")
 over(Symbols, "symbols", _SYMBOLS, "im17_match_lengths", "im17_match_lengths_kernel", "im24_stationarity", "im26_dense", "im26_dense_kernel", "im26_dense_compat", "im27_sparse", "im28_equally_sparse",
      "pd1_splitter", "pd2_windows", "pd5_split", "pd6_markov_counts", "pd7_markov_predict", "pd10_normalize_chain", "pd11_markov_accuracy", "pd17_top_loc", "pd18_baseline", "pd23_folds",
-     "pd24_input_target")
+     "pd24_input_target", "pd9_markov_rollout", "im29_global_alignment")
 
 add("binned_im8_waiting_times", lambda s, d: m.waiting_times(r.coarse(s, Binned(d))), PLACED + """, k as (select * from (select *, lead(lon) over w nx, lead(lat) over w ny from traj window w as (partition by user_id order by datetime)) where nx is distinct from lon or ny is distinct from lat)
 select user_id, datetime, (epoch_us(datetime) - epoch_us(lag(datetime) over (partition by user_id order by datetime))) // 3600000000 as value from k""")

@@ -311,7 +311,14 @@ lc as (with recursive lc as (select user_id, a, b, m, 0 i, list_transform(b, lam
   select user_id, r[m] c from lc where i = len(a))
 select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join lc using (user_id)""")
 add("im28_equally_sparse", lambda s, d: rounded(sq.repeatability_equally_sparse(*halves(s, d))), _HALVES + "select user_id, round(greatest(coalesce(c, 0) - 1, 0) / (n - 1), 6) as value from tn left join (select user_id, max(c) c from (select user_id, count(*) c from dg group by user_id, d) group by 1) using (user_id)")
-add("im29_global_alignment", lambda s, d: rounded(sq.global_alignment(*halves(s, d))))
+add("im29_global_alignment", lambda s, d: rounded(sq.global_alignment(*halves(s, d))), _HALVES + """, ab as (select user_id, a, b, len(a) h, len(b) m from (select user_id, list(labels order by i) a from tr group by 1) join (select user_id, list(labels order by i) b from te group by 1) using (user_id)),
+al as (with recursive al as (select user_id, a, b, h, m, 0 i, list_transform(range(0, m + 1), lambda j: case when j = 0 then 0.0 else -1e9 end::double) p, list_transform(range(0, m + 1), lambda j: -1e9::double) u, list_transform(range(0, m + 1), lambda j: case when j = 0 then -1e9 else 0.0 end::double) l from ab
+  union all select user_id, a, b, h, m, i + 1, p2, u2, list_transform(range(0, m + 1), lambda j: case when j = 0 then -1e9 else list_max(x2[1:j]) - case when i + 1 = h then 0 else 1 end end::double) from
+  (select *, list_transform(range(0, m + 1), lambda j: greatest(p2[j + 1], u2[j + 1])) x2 from
+  (select *, list_transform(range(0, m + 1), lambda j: case when j = 0 then -1e9 else greatest(p[j], u[j], l[j]) + case when b[j] = a[i + 1] then 1 else -1 end end::double) p2,
+    list_transform(range(0, m + 1), lambda j: case when j = 0 then 0.0 else greatest(greatest(p[j + 1], l[j + 1]) - case when j = m then 0 else 1 end, u[j + 1]) end::double) u2 from al where i < h)))
+  select user_id, greatest(p[m + 1], u[m + 1], l[m + 1]) c from al where i = h)
+select user_id, round(c / (n - 1), 6) as value from tn left join al using (user_id)""")
 add("im30_iterative_alignment", lambda s, d: rounded(sq.iterative_global_alignment(*halves(s, d))))
 
 # prediction
@@ -336,7 +343,11 @@ add("pd10_normalize_chain", lambda s, d: rounded(_text(pd_.normalize_chain(pd_.m
 add("pd7_markov_predict", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2)[0].select("user_id", "i", "truth", "prediction"), _COUNTS + "select user_id, i, truth, prediction from pr")
 add("pd11_markov_accuracy", lambda s, d: rounded(pd_.markov_wrapper(coarse(s, d), 0.2, 2)[1], "accuracy"), _COUNTS + "select user_id, round(avg((truth = prediction)::int), 6) as accuracy from pr group by 1")
 add("pd7_markov_sample", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2, sample=True, seed=3)[0].select("user_id", "i", "truth", "prediction"))
-add("pd9_markov_rollout", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2, online=False)[0].select("user_id", "i", "truth", "prediction"))
+add("pd9_markov_rollout", lambda s, d: pd_.markov_wrapper(coarse(s, d), 0.2, 2, online=False)[0].select("user_id", "i", "truth", "prediction"), _COUNTS + """, b2 as (select user_id, state[1] s2, state[2] s1, next from bs where len(state) = 2), b1 as (select user_id, state[1] s1, next from bs where len(state) = 1), b0 as (select user_id, next from bs where len(state) = 0),
+ro as (with recursive ro as (select user_id, max(n) n, cast(max(round_even(n * 0.8::double, 0)) as bigint) i, max(labels) filter (i = round_even(n * 0.8::double, 0) - 1) p2, max(labels) filter (i = round_even(n * 0.8::double, 0)) p1 from sq group by 1
+  union all select ro.user_id, n, i + 1, p1, coalesce(b2.next, b1.next, b0.next, -1) from ro left join b2 on b2.user_id = ro.user_id and b2.s2 = p2 and b2.s1 = p1 left join b1 on b1.user_id = ro.user_id and b1.s1 = p1 left join b0 on b0.user_id = ro.user_id where i < n)
+  select * from ro)
+select ro.user_id, cast(ro.i as integer) as i, sq.labels as truth, p1 as prediction from ro join sq on sq.user_id = ro.user_id and sq.i = ro.i where ro.i > round_even(ro.n * 0.8::double, 0)""")
 add("pd16_sparse", lambda s, d: rounded(pd_.sparse_wrapper(coarse(s, d))[1], "accuracy"))
 add("pd17_top_loc", lambda s, d: pd_.top_loc(*pd_.split(coarse(s, d), 0.8)).select("user_id", "i", "truth", "prediction"), _COUNTS + "select sq.user_id, sq.i, sq.labels as truth, next as prediction from sq join bs on sq.user_id = bs.user_id and len(state) = 0 where i > round_even(n * 0.8::double, 0)")
 add("pd18_baseline", lambda s, d: rounded(pd_.accuracy(pd_.baseline(pd_.splitter(coarse(s, d), 0.2, 2).where("role = 'test'"))), "accuracy"), _WINDOWS + "select user_id, round(avg((x2 = y)::int), 6) as accuracy from sp where w > v group by 1")
@@ -354,6 +365,18 @@ add("gn4_exploratory", lambda s, d: gn.exploratory_sequences_generator(s, 20, 30
 add("gn5_self_transitions", lambda s, d: gn.self_transitions_sequences_generator(s, 20, 7, 100), _GN.format(x="n // 14", n=98), "")
 add("gn6_non_stationary", lambda s, d: gn.non_stationary_sequences_generator(s, 20, 6, 3, 100, 1))
 
+
+def _shape(df: DataFrame) -> DataFrame:
+    """What holds of drawn sequences whatever was drawn: length, hours, range of the symbols."""
+    return df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("datetime").alias("first"), F.max("datetime").alias("last"), F.count_distinct("datetime").alias("hours"), F.min(F.col("labels") >= 0).alias("positive"), F.max("labels").alias("top"))
+
+
+_SHAPE = "select u as user_id, {n}::bigint as n, timestamp '1970-01-01' as \"first\", timestamp '1970-01-01' + to_hours({n} - 1) as \"last\", {n}::bigint as hours, true as positive{top} from (select unnest(range(0, 20)) u)"
+add("gn1_shape", lambda s, d: _shape(gn.markovian_sequences_generator(s, 20, 10, 150, 0.7, 1)).drop("top"), _SHAPE.format(n=150, top=""), "")
+add("gn2_shape", lambda s, d: _shape(gn.random_sequences_generator(s, 20, 10, [400], 1)).drop("top"), _SHAPE.format(n=400, top=""), "")
+add("gn4_shape", lambda s, d: _shape(gn.exploratory_sequences_generator(s, 20, 30, 1)).withColumn("top", F.col("top").cast("int")), _SHAPE.format(n=30, top=", 29::integer as top"), "")
+add("gn6_shape", lambda s, d: _shape(gn.non_stationary_sequences_generator(s, 20, [6], [3], 100, 1)).drop("top"), _SHAPE.format(n=100, top=""), "")
+
 # the mobility model
 _RANK = ", rk as (select user_id, labels, lon, lat, count(*) n, cast(row_number() over (partition by user_id order by count(*) desc, labels) - 1 as integer) \"rank\" from traj group by 1, 2, 3, 4)\n"
 _HOME = _LAYER + _RANK + """, dd as (select a.user_id, a.lon, a.lat, sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) d from rk a join rk b using (user_id) where a."rank" = 0 and b."rank" = 1)
