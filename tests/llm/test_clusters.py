@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith.functions.geo import haversine_np
-from tracksmith.llm.clusters import clean_code, connected_components, describe_clusters, full_codes, similarity_clusters
+from tracksmith.llm.clusters import candidate_cells, clean_code, connected_components, describe_clusters, full_codes, similarity_clusters
 
 M = 1 / 111_195.0
 
@@ -121,3 +121,21 @@ def test_sizes_count_records_attached_by_code(spark):
     at = {r["part"]: r["attached"] for r in got["cells"].collect() if r["attached"]}
     where = {r[0]: r[1] for r in rows}
     assert sorted((round((where[k] - 12.0) / (900 * M)), n) for k, n in at.items() if k < 500) == [(0, 3), (1, 5)]
+
+
+def test_drawn_permutations_find_nearly_all_and_chosen_ones_the_rest(spark):
+    rng = random.Random(12)
+    cells = {(rng.randrange(-40, 40), rng.randrange(-40, 40)): rng.choice([None, "a", "b", "c"]) for _ in range(900)}
+    df = spark.createDataFrame([(x, y, c) for (x, y), c in cells.items()], "x long, y long, code string")
+    span = 2
+    near = {(a, b) for a in cells for b in cells if a < b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= span}
+    adjacent = {(a, b) for a, b in near if max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1}
+    pairs = lambda **how: {((r["ax"], r["ay"]), (r["bx"], r["by"])) for r in candidate_cells(df, span, **how).collect()}
+    assert near <= pairs() and near <= pairs(drawn=0)
+    found = pairs(chosen=False)
+    assert len(found & near) > 0.9 * len(near) and len(found & adjacent) > 0.99 * len(adjacent)
+
+
+def test_a_code_that_is_written_everywhere_makes_no_large_bucket(spark):
+    df = spark.range(90_000).select((F.col("id") % 300 * 9).alias("x"), (F.floor(F.col("id") / 300) * 9).alias("y"), F.lit("home").alias("code"))
+    assert candidate_cells(df, 2).count() == 0

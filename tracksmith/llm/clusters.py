@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from tracksmith.storage import materialize, release
 DEGREE_M = math.pi / 180 * EARTH_RADIUS_M
 #: Parts of a cell's side at the last step but the points themselves.
 FINEST = 256
+#: Random permutations of the MinHash, and how often a code counts in a set.
+BANDS, CODE_WEIGHT = 8, 3
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -76,20 +82,64 @@ class Cells:
         return F.hypot(gx * F.lit(narrow / parts), gy * F.lit(self.dy * DEGREE_M / parts)) * 0.999
 
 
-def candidate_cells(cells: DataFrame, span: int) -> DataFrame:
-    """Pairs of occupied cells that may hold linked points: ``ax, ay, bx, by``.
+def _mix(v: np.ndarray) -> np.ndarray:
+    """Scatters 64-bit numbers; a bijection."""
+    with np.errstate(over="ignore"):
+        v = v ^ (v >> np.uint64(33))
+        v = v * np.uint64(0xFF51AFD7ED558CCD)
+        v = v ^ (v >> np.uint64(33))
+        v = v * np.uint64(0xC4CEB9FE1A85EC53)
+        return v ^ (v >> np.uint64(33))
 
-    The set of a cell is the square of cells up to ``span`` around it. MinHash with four permutations that each rank
-    first the cells of one residue class modulo the square's side: the least cell of a set is then the only one of that
-    class in it. Two sets of cells at most ``span`` apart share at least ``span + 1`` rows and columns, and the residues
-    0 and ``span`` are never both outside those, so such cells agree in at least one band: nothing is missed. A bucket
-    holds at most one square of cells. The exact Jaccard similarity of candidates is verified.
+
+def tokens_of(x: np.ndarray, y: np.ndarray, code: list[str | None], span: int) -> np.ndarray:
+    """The sets of cells, a row each: the cells up to ``span`` around, and CODE_WEIGHT times the code in its neighbourhood.
+
+    A code counts only within a square of as many cells as a set has, so that a code that is written everywhere brings
+    no more cells together than a token of a place. A cell without code has tokens of its own instead.
+    """
+    side = 2 * span + 1
+    cell = lambda a, b: _mix(_mix(a.astype(np.int64).view(np.uint64)) ^ b.astype(np.int64).view(np.uint64))
+    d = np.arange(-span, span + 1)
+    around = cell(x[:, None] + np.repeat(d, side), y[:, None] + np.tile(d, side))
+    named = np.array([xxhash.xxh64_intdigest(c) if c is not None else 0 for c in code], np.uint64)
+    there = np.array([c is not None for c in code], bool)
+    named = np.where(there, _mix(named ^ cell(x // side, y // side)), ~cell(x, y))
+    return np.concatenate([around, _mix(named[:, None] ^ _mix(np.arange(1, CODE_WEIGHT + 1).astype(np.uint64) << np.uint64(56)))], 1)
+
+
+def _bands(span: int, drawn: int, chosen: bool):
+    """For every cell its key in each band: what its set has least in that band's permutation."""
+    schema = pa.schema([("band", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+    side = 2 * span + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            tokens = tokens_of(x, y, batch.column(2).to_pylist(), span)
+            keys = [(b, _mix(tokens ^ _mix(np.array([b + 1], np.uint64))).min(1).view(np.int64), np.zeros(len(x), np.int64)) for b in range(drawn)]
+            first = lambda c, r: c - span + (r - (c - span)) % side
+            if chosen:
+                keys += [(drawn + i, first(x, rx), first(y, ry)) for i, (rx, ry) in enumerate([(0, 0), (0, span), (span, 0), (span, span)])]
+            for b, k1, k2 in keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b, np.int32)), pa.array(k1), pa.array(k2), batch.column(0), batch.column(1)], schema=schema)
+
+    return run
+
+
+def candidate_cells(cells: DataFrame, span: int, drawn: int = BANDS, chosen: bool = True) -> DataFrame:
+    """Pairs of occupied cells (``x, y, code``) that may hold linked points: ``ax, ay, bx, by``.
+
+    The set of a cell carries its place and its code (see ``tokens_of``). MinHash with ``drawn`` random permutations, one to
+    a band, finds nearly all pairs. As no link may be missed, four ``chosen`` permutations complete them: each ranks first
+    the cells of one residue class modulo the side of a set, so the least cell of a set is the only one of that class in
+    it. Two sets of cells at most ``span`` apart share at least ``span + 1`` rows and columns, and the residues 0 and
+    ``span`` are never both outside those, so such cells agree in at least one of the four. A bucket of any band holds at
+    most as many cells as a set. The exact Jaccard similarity of the places of candidates is verified.
     """
     side = 2 * span + 1
-    first = lambda c, r: c - span + F.pmod(F.lit(r) - (c - span), F.lit(side))
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), first(F.col("x"), rx).alias("kx"), first(F.col("y"), ry).alias("ky")) for i, (rx, ry) in enumerate([(0, 0), (0, span), (span, 0), (span, span)])))
-    keyed = cells.select("x", "y", F.explode(bands).alias("b")).select("b.*", "x", "y")
-    buckets = keyed.groupBy("band", "kx", "ky").agg(F.collect_list(F.struct("x", "y")).alias("all")).where(F.size("all") > 1)
+    keyed = cells.select(F.col("x"), F.col("y"), F.col("code")).mapInArrow(_bands(span, drawn, chosen), "band int, k1 long, k2 long, x long, y long")
+    buckets = keyed.groupBy("band", "k1", "k2").agg(F.collect_list(F.struct("x", "y")).alias("all")).where(F.size("all") > 1)
     pairs = buckets.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where(F.col("a") < F.col("b"))
     pairs = pairs.select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
     over = lambda a, b: F.greatest(F.lit(side) - F.abs(a - b), F.lit(0))
@@ -98,10 +148,10 @@ def candidate_cells(cells: DataFrame, span: int) -> DataFrame:
     return pairs.where(shared * F.lit(2 * side * side - least) >= F.lit(least) * (F.lit(2 * side * side) - shared)).distinct()
 
 
-def linked_cells(points: DataFrame, cells: Cells) -> DataFrame:
+def linked_cells(points: DataFrame, cells: Cells, occupied: DataFrame) -> DataFrame:
     """Pairs of different cells with two points at most ``reach`` apart: ``ax, ay, bx, by``; exact.
 
-    ``points`` has ``lat, lon``. Candidates are decided from coarse to fine: in each part of a cell one point stands as a
+    ``points`` has ``lat, lon``, ``occupied`` their cells ``x, y, code``. Candidates are decided from coarse to fine: in each part of a cell one point stands as a
     witness. Two witnesses within reach link the cells; parts too far apart for any point of theirs drop out; cells with
     neither go on with finer parts of the parts still open, and at last with the points of those, which are a
     1/FINEST of a cell wide (0.3 m for a reach of 100 m). So of a cell with very many points only few are looked at, and
@@ -110,7 +160,6 @@ def linked_cells(points: DataFrame, cells: Cells) -> DataFrame:
     points = materialize(points.select("lat", "lon").distinct(), "points")
     cell = lambda parts: (cells.x(F.col("lon"), parts), cells.y(F.col("lat"), parts))
     key = ["ax", "ay", "bx", "by"]
-    occupied = points.select(cell(1)[0].alias("x"), cell(1)[1].alias("y")).distinct()
     open_parts = candidate_cells(occupied, cells.span).where(cells.apart(*map(F.col, key), 1) <= cells.reach)
     # the parts still open: the pair of cells and the pair of parts, which at first are the cells themselves
     open_parts = open_parts.select(*key, *(F.col(c).alias(f"p{c}") for c in key))
@@ -180,8 +229,8 @@ def similarity_clusters(
     loose clusters are split around the cells of the highest degree. ``attached``, at the cell that names a part, counts the
     records without coordinates: each goes to the part of its cluster that carries its code most often (a tie: the smaller).
 
-    Links are found between cells, not records: banded MinHash over the cells' surroundings for candidates, exact
-    Jaccard similarity and exact distances to verify them, star contraction for the components. A cell with a third of
+    Links are found between cells, not records: banded MinHash over the cells' surroundings and codes for candidates,
+    exact Jaccard similarity and exact distances to verify them, star contraction for the components. A cell with a third of
     all records is one node.
     """
     grid = Cells(reach, area)
@@ -191,13 +240,13 @@ def similarity_clusters(
     rows = rows.select("id", "there", F.when(F.col("there"), F.col("lat")).alias("lat"), F.when(F.col("there"), F.col("lon")).alias("lon"), "code").dropDuplicates(["id"])
     rows = materialize(rows.select("id", "there", "lat", "lon", "code", grid.x(F.col("lon")).alias("x"), grid.y(F.col("lat")).alias("y")), "records")
     placed = rows.where("there")
-    cells = materialize(placed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("record")), "cells")
-    pairs = materialize(linked_cells(placed, grid), "pairs")
+    cells = materialize(placed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("record"), F.min("code").alias("code")), "cells")
+    pairs = materialize(linked_cells(placed, grid, cells), "pairs")
     # a cell's node is its smallest record id, so a component's name is that of the cluster
     node = lambda side: cells.select(F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"), F.col("record").alias(side))
     edges = materialize(pairs.join(node("a"), ["ax", "ay"]).join(node("b"), ["bx", "by"]).select("a", "b"), "edges")
     labels = connected_components(cells.select(F.col("record").alias("node")), edges).select(F.col("node").alias("record"), F.col("component").alias("cluster_id"))
-    labelled = cells.join(labels, "record")
+    labelled = cells.drop("code").join(labels, "record")
     sizes = labelled.groupBy("cluster_id").agg(F.sum("n").alias("size")).where(F.col("size") >= least)
     labelled = materialize(labelled.join(sizes.select("cluster_id"), "cluster_id", "left_semi"), "labelled")
     members = placed.join(labelled.select("x", "y", "cluster_id"), ["x", "y"]).select("id", "cluster_id", "code")
