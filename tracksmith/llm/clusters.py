@@ -19,7 +19,7 @@ DEGREE_M = math.pi / 180 * EARTH_RADIUS_M
 #: Parts of a cell's side at the last step but the points themselves.
 FINEST = 256
 #: Random permutations of the MinHash, and how often a code counts in a set.
-BANDS, CODE_WEIGHT = 8, 3
+BANDS, CODE_WEIGHT = 16, 3
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
