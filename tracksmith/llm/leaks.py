@@ -46,8 +46,11 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _postings(known: tuple[dict[str, int], np.ndarray] | None, spelled: bool = True):
-    """Shingles of each text with their place, the number of shingles after it and, ``spelled``, the words; only those known, if told which."""
+def _postings(known: tuple[dict[str, int], np.ndarray, list[str]] | None, spelled: bool = True):
+    """Shingles of each text with their place, the number of shingles after it and, ``spelled``, the words.
+
+    Only those ``known``, if told which: by the codes of words, the hashes in order, and their words, which are compared.
+    """
     schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("after", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,7 @@ def _postings(known: tuple[dict[str, int], np.ndarray] | None, spelled: bool = T
                             flat.append(codes[w])
                     ids.append(i)
                     sizes.append(len(words))
-                    if spelled:
+                    if spelled or known:
                         all_words += words
                 if not ids:
                     continue
@@ -90,7 +93,9 @@ def _postings(known: tuple[dict[str, int], np.ndarray] | None, spelled: bool = T
                     keep &= blank[SHINGLE:] == blank[: len(h)]
                     at = np.nonzero(keep)[0]
                     found = np.searchsorted(wanted, h[at])
-                    at = at[wanted[np.minimum(found, len(wanted) - 1)] == h[at]]
+                    found = np.minimum(found, len(wanted) - 1)
+                    hit = wanted[found] == h[at]
+                    at = np.array([k for k, f in zip(at[hit].tolist(), found[hit].tolist()) if " ".join(all_words[k : k + SHINGLE]) == known[2][f]], np.int64)
                 else:
                     at = np.nonzero(keep)[0]
                 if len(at):
@@ -133,9 +138,14 @@ def leaked_items(
     corpus = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     if size <= broadcast_chars:
         vocabulary = {w: _code(w) for (t,) in its.select("t").where(F.col("t").isNotNull()).toLocalIterator() for w in words_of(t)}
-        hashes = np.array([r[0] for r in item_side.select("shingle").distinct().collect()], np.int64).view(np.uint64)
-        known = (vocabulary, np.sort(hashes)) if len(hashes) else ({}, np.zeros(1, np.uint64))
-        found = corpus.mapInArrow(_postings(known), ddl)
+        shingles = dict(item_side.groupBy("shingle").agg(F.min("words"), F.max("words")).select("shingle", F.array("min(words)", "max(words)")).toLocalIterator())
+    # two shingles of the items of one hash (not to be expected) are told apart by the other way
+    few = size <= broadcast_chars and all(a == z for a, z in shingles.values())
+    if few:
+        hashes = np.sort(np.array(list(shingles), np.int64).view(np.uint64))
+        spellings = [shingles[h][0] for h in hashes.view(np.int64).tolist()]
+        known = (vocabulary, hashes, spellings) if len(hashes) else ({}, np.zeros(1, np.uint64), [""])
+        found = corpus.mapInArrow(_postings(known, spelled=False), ddl)
     else:
         found = corpus.mapInArrow(_postings(None, spelled=False), ddl).join(item_side.select("shingle").distinct(), "shingle", "left_semi")
     found = materialize(found, "postings")
@@ -149,12 +159,15 @@ def leaked_items(
     prefixes = rarest.groupBy("item", F.col("p.shingle").alias("shingle"), F.col("p.ipos").alias("ipos")).agg(F.min("p.off").alias("least_before"), F.min(F.lit(needed - 1) - F.col("p.off")).alias("least_after"))
     candidates = found.join(prefixes, "shingle").where((F.col("pos") >= F.col("least_before")) & (F.col("after") >= F.col("least_after")))
     candidates = materialize(candidates.select("id", "item", (F.col("pos") - F.col("ipos")).alias("shift"), F.col("ipos").alias("at")).distinct(), "candidates")
-    if size > broadcast_chars:
+    if not few:
         found = corpus.join(candidates.select("id").distinct(), "id", "left_semi").mapInArrow(_postings(None), ddl)
     # the item's shingles around a candidate, each at the place of the text where it must stand
     around = candidates.join(item_side.select("item", "ipos", "shingle", F.col("words").alias("its_words")), "item").where(F.abs(F.col("ipos") - F.col("at")) < needed)
     around = around.select("id", "item", "shift", "ipos", (F.col("ipos") + F.col("shift")).alias("pos"), "shingle", "its_words").distinct()
-    lined = around.join(found.select("id", "pos", "shingle", "words"), ["id", "pos", "shingle"]).where(F.col("words") == F.col("its_words")).select("id", "item", "shift", "ipos")
+    spelled = found.select("id", "pos", "shingle") if few else found.select("id", "pos", "shingle", "words")
+    lined = around.join(spelled, ["id", "pos", "shingle"])
+    # the known shingles have been compared by their words already
+    lined = (lined if few else lined.where(F.col("words") == F.col("its_words"))).select("id", "item", "shift", "ipos")
     run = F.col("ipos") - F.row_number().over(Window.partitionBy("id", "item", "shift").orderBy("ipos"))
     hits = lined.distinct().select("id", "item", "shift", run.alias("run")).groupBy("id", "item", "shift", "run").count().where(F.col("count") >= needed)
     return hits.select(F.col("id").alias(doc_id), F.col("item").alias(item_id)).distinct()
