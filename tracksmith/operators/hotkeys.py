@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracksmith.storage import materialize
+
 #: Distinct keys of a task's dictionary before its arrays are handed on.
 DICTIONARY_KEYS = 500_000
 
@@ -108,8 +110,11 @@ def key_totals(df: DataFrame, key: str, values: dict[str, Column] | None = None)
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys (not null) that hold at least ``share`` of all rows, rows without key counted in the total: ``key, n``."""
-    totals = key_totals(df, key)
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    """Keys (not null) that hold at least ``share`` of all rows, rows without key counted in the total: ``key, n``.
+
+    The rows are read once; their number is the sum of the totals, which are kept in a table.
+    """
+    totals = materialize(key_totals(df, key), "totals")
+    rows = totals.agg(F.sum("n")).scalar()
     # the quotient is rounded to the nearest double, as the constant is, so an exact share counts
     return totals.where(F.col(key).isNotNull() & (F.col("n") / rows >= share))

@@ -148,10 +148,14 @@ def unc_entropy(df: DataFrame) -> DataFrame:
     return visitation_frequency(df).groupBy("user_id").agg(F.sum(-p * F.log2(p)).alias("value"))
 
 
-def stationarity(df: DataFrame) -> DataFrame:
-    """IM24: share of records with the label of the one before."""
-    there = df.where(F.col("labels").isNotNull())
-    return there.withColumn("_new", changed(there, "labels")).groupBy("user_id").agg((F.sum((~F.col("_new")).cast("int")) / F.count(F.lit(1))).alias("value"))
+def stationarity(df: DataFrame, compat: bool = False) -> DataFrame:
+    """IM24: share of records with the label of the one before.
+
+    ``compat`` takes the records without any null, and the share of their values in all columns but user and time.
+    """
+    there = df.na.drop("any") if compat else df.where(F.col("labels").isNotNull())
+    columns = len(set(df.columns) - {"user_id", "datetime"}) if compat else 1
+    return there.withColumn("_new", changed(there, "labels")).groupBy("user_id").agg((F.sum((~F.col("_new")).cast("int")) / (F.count(F.lit(1)) * columns)).alias("value"))
 
 
 def regularity(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The mobility model (MM1-MM18): significant places, daily rhythm, densities, agents, and simulated movement."""
+"""The mobility model (MM1-MM16, MM18): significant places, daily rhythm, densities, agents, and simulated movement."""
 
 from __future__ import annotations
 
@@ -51,7 +51,7 @@ def commute_distances_to_2d_distribution(ranked: DataFrame, layer: DataFrame) ->
 
 
 def convert_to_2d_distribution(ranked: DataFrame, layer: DataFrame, rank: int = 0) -> DataFrame:
-    """MM5: share of the users whose place of that rank lies in a cell: ``cell_id, cx, cy, value``."""
+    """MM2, MM5: share of the users whose place of that rank lies in a cell: ``cell_id, cx, cy, value``."""
     places = ranked.where(F.col("rank") == rank).select("lon", "lat")
     cells = places.join(locate(places, layer), ["lon", "lat"]).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
     total = cells.agg(F.sum("n")).scalar()

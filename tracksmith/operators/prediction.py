@@ -176,7 +176,7 @@ def baseline(test: DataFrame) -> DataFrame:
 
 
 def shifted_patterns(lookback: list, search: list):
-    """PD14: for every offset of ``lookback`` in ``search`` with matches: the pattern and the symbol that follows it."""
+    """PD14, PD15: for every offset (diagonal) of ``lookback`` in ``search`` with matches: the pattern and the symbol that follows it."""
     q = len(lookback)
     for d in range(1 - q, len(search)):
         end = d + q

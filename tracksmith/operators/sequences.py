@@ -158,7 +158,8 @@ def scaled_entropy_of(labels: list, seed: int, estimation_method: str = "unc") -
     """IM16: entropy of a sequence with missing symbols (None), carried back to none missing.
 
     Up to 15 % missing it is taken as it is, beyond 90 % there is none. Between, more symbols are taken out in steps of
-    5 %; how the entropy relates to the baseline's is fitted over the share missing and read at 0.
+    5 %; how the entropy relates to the baseline's is fitted over the share missing and read at 0. A line takes the place
+    of the curve only where the fit fails.
     """
     n = len(labels)
     there = [k for k, s in enumerate(labels) if s is not None]

@@ -189,7 +189,8 @@ class ClusteringAggregator:
     algorithm: Callable = dbscan
     kwargs: dict | None = None
 
-    def aggregate(self, df: DataFrame, drop_noise: bool = False, centres_as_geometry: bool = True) -> DataFrame:
+    def aggregate(self, df: DataFrame, drop_noise: bool = False, centres_as_geometry: bool = True, compat: bool = False) -> DataFrame:
+        """With ``compat`` the records of noise stay with nothing but user and time."""
         algorithm, kwargs = self.algorithm, dict(self.kwargs or {})
         rows = df.drop("labels").withColumn("_n", F.row_number().over(in_time(df)))
         slim = rows.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("user_id", "_n", "lon", "lat")
@@ -206,6 +207,9 @@ class ClusteringAggregator:
         if centres_as_geometry:
             w = Window.partitionBy("user_id", "labels")
             labelled = labelled.withColumns({c: F.when(F.col("labels") >= 0, F.avg(c).over(w)).otherwise(F.col(c)) for c in ("lon", "lat")})
+        if compat:
+            noise = F.coalesce(F.col("labels") < 0, F.lit(False))
+            labelled = labelled.withColumns({c: F.when(~noise, F.col(c)) for c in labelled.columns if c not in ("user_id", "datetime", "_n")})
         return labelled.drop("_n")
 
 

@@ -42,14 +42,14 @@ def fraction_of_empty_records(df: DataFrame, resolution: str) -> DataFrame:
     return user_quality(df, resolution).select("user_id", (1 - F.col("occupied") / F.col("duration")).alias("value"))
 
 
-def count_records(df: DataFrame) -> DataFrame:
-    """US2: records per user."""
-    return df.groupBy("user_id").agg(F.count(F.lit(1)).alias("value"))
+def count_records(df: DataFrame, column: str | None = None) -> DataFrame:
+    """US2: records per user; with ``column`` only those where it is not null."""
+    return df.groupBy("user_id").agg(F.count(F.col(column) if column else F.lit(1)).alias("value"))
 
 
-def count_records_per_time_frame(df: DataFrame, resolution: str) -> DataFrame:
-    """US3: records per user and occupied bin."""
-    binned = with_bins(df, resolution, "frame").groupBy("user_id", "bin").agg(F.count(F.lit(1)).alias("n_records"))
+def count_records_per_time_frame(df: DataFrame, resolution: str, column: str | None = None) -> DataFrame:
+    """US3: records per user and occupied bin; with ``column`` only those where it is not null."""
+    binned = with_bins(df, resolution, "frame").groupBy("user_id", "bin").agg(F.count(F.col(column) if column else F.lit(1)).alias("n_records"))
     return binned.select("user_id", F.timestamp_micros("bin").cast("timestamp_ntz").alias("bin_start"), "n_records")
 
 

@@ -62,6 +62,12 @@ add("binned_im8_waiting_times", lambda s, d: m.waiting_times(r.coarse(s, Binned(
 select user_id, datetime, (epoch_us(datetime) - epoch_us(lag(datetime) over (partition by user_id order by datetime))) // 3600000000 as value from k""")
 add("binned_sp1_grid", lambda s, d: sp.GridAggregation(2000.0).aggregate(r.traj(s, Binned(d))).select("user_id", "seq", "lon", "lat", "labels"),
     PLACED + r._CELLS + r._FIRST.format(t="grid") + "select user_id, seq, lon, lat, l.labels from grid join l using (lon, lat) union all select user_id, seq, null, null, null from gaps where lon is null")
+add("binned_us2_count_labels", lambda s, d: us.count_records(r.traj(s, Binned(d)), "labels"), ALL + "select user_id, count(labels) as value from traj group by 1")
+add("binned_im24_compat", lambda s, d: rounded(m.stationarity(r.traj(s, Binned(d)), compat=True)),
+    PLACED + "select user_id, round(sum((labels is not distinct from p)::int) / (count(*) * 7), 6) as value from (select *, lag(labels) over (partition by user_id order by datetime) p from traj where v is not null and \"start\" is not null and \"end\" is not null) group by 1")
+add("binned_sp5_compat", lambda s, d: sp.ClusteringAggregator(kwargs={"eps": 400.0, "min_samples": 4}).aggregate(r.traj(s, Binned(d)), compat=True).select("user_id", "datetime", "labels", F.round("lon", 6).alias("lon")), PLACED + """
+, c as (select user_id, lon, lat, count(*) c, min(datetime) f from traj group by 1, 2, 3), k as (select user_id, lon, lat, cast(row_number() over (partition by user_id order by f) - 1 as integer) k from c where c >= 4)
+select g.user_id, g.datetime, k as labels, case when k is not null then round(g.lon, 6) end as lon from gaps g left join k on k.user_id = g.user_id and k.lon = g.lon and k.lat = g.lat""")
 _NULLS = "select user_id, count(distinct labels) + max((labels is null)::int) n_locations from gaps group by 1"
 _SHARES = "select user_id, sum(-p * log2(p)) entropy from (select user_id, count(*) / sum(count(*)) over (partition by user_id) p from traj group by user_id, lon, lat) group by 1"
 add("binned_im21_random_predictability", lambda s, d: rounded(sq.random_predictability(r.traj(s, Binned(d))), "entropy", "predictability"),
