@@ -74,6 +74,42 @@ def test_gradients_of_the_network():
         assert grads[name][at] == pytest.approx((up - down) / (2 * e), abs=1e-6)
 
 
+def test_dropout_masks_the_last_layer_alone():
+    net = pd_.GatedNetwork(embedding=3, units=4, epochs=0)
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 3, (6, 4)), rng.integers(0, 3, 6)
+    net.fit(x, y)
+    x, y, mask = net._codes(x), net._codes(y), (rng.random((6, 4)) < 0.7) / 0.7
+    grads = net._gradients(x, y, mask)
+    of = lambda: net.loss(net._forward(x)[1] * mask @ net.p["W"] + net.p["b"], y)
+    for name, at in (("E", (1, 2)), ("h0", (4, 3)), ("W", (1, 1))):
+        p, e = net.p[name], 1e-5
+        p[at] += e
+        up = of()
+        p[at] -= 2 * e
+        down = of()
+        p[at] += e
+        assert grads[name][at] == pytest.approx((up - down) / (2 * e), abs=1e-6)
+
+
+def test_any_class_with_fit_and_predict(spark):
+    class Follower:
+        """A classifier from elsewhere: what followed the last symbol most often."""
+
+        def __init__(self, fallback=0):
+            self.fallback = fallback
+
+        def fit(self, x, y):
+            self.table = {s: int(np.bincount(y[x[:, -1] == s]).argmax()) for s in np.unique(x[:, -1])}
+            return self
+
+        def predict(self, x):
+            return np.array([self.table.get(s, self.fallback) for s in x[:, -1]])
+
+    windows = pd_.splitter(frame(spark, {"a": [1, 2, 3, 4] * 20}), 0.25, 3, 2)
+    assert {r["user_id"]: r["accuracy"] for r in pd_.classifier_search(windows, Follower, {"fallback": [1, 2]}, 3)[1].collect()} == {"a": 1.0}
+
+
 def test_settings_are_drawn_by_seed():
     space = {"a": [1, 2, 3], "b": ["x", "y"]}
     assert pd_.iterate_random_values(space, 4, 1) == pd_.iterate_random_values(space, 4, 1)

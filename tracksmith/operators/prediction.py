@@ -337,13 +337,20 @@ def split_input_target(chunk: Column) -> tuple[Column, Column]:
 class GatedNetwork:
     """PD21, PD22, PD25: embedding, one or two gated recurrent layers, and a softmax over symbols, in NumPy.
 
-    Trained by Adam on the cross-entropy of the logits with back-propagation through the window; the epoch of the best
-    validation loss is kept and training ends after ``patience`` worse ones.
+    Trained by Adam on the cross-entropy of the logits with back-propagation through the window and dropout before the
+    last layer. Training goes on from fold to fold: each part of the windows in turn validates and the others are learnt
+    from (a single fold: the second half is learnt from and the first one validates); in every fold the epoch of the best
+    validation loss is kept, and it ends after ``patience`` worse ones. Symbols are drawn from the softmax at ``temperature``;
+    0 takes the most likely one.
     """
 
-    def __init__(self, window: int = 5, embedding: int = 16, units: int = 24, layers: int = 1, epochs: int = 30, patience: int = 2, rate: float = 0.02, seed: int = 0) -> None:
+    def __init__(
+        self, window: int = 5, embedding: int = 16, units: int = 24, layers: int = 1, epochs: int = 30, patience: int = 2, rate: float = 0.02, seed: int = 0,
+        dropout: float = 0.2, folds: int = 5, batch: int = 32, temperature: float = 0.1,
+    ) -> None:
         self.window, self.embedding, self.units, self.layers = window, embedding, units, layers
         self.epochs, self.patience, self.rate, self.seed = epochs, patience, rate, seed
+        self.dropout, self.folds, self.batch, self.temperature = dropout, folds, batch, temperature
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> GatedNetwork:
         rng = np.random.default_rng(self.seed)
@@ -356,27 +363,34 @@ class GatedNetwork:
             p |= {f"{g}{k}": small(i + u, u) for g in "zrh"} | {f"b{g}{k}": np.zeros(u) for g in "zrh"}
         self.p = p
         x, y = self._codes(x), self._codes(y)
-        cut = max(1, int(len(x) * 0.9))
-        held = (x[cut:], y[cut:]) if cut < len(x) else (x, y)
         m, s = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
-        best, kept, worse, t = math.inf, None, 0, 0
-        for _ in range(self.epochs):
-            order = rng.permutation(cut)
-            for at in (order[i : i + 32] for i in range(0, cut, 32)):
-                grads, t = self._gradients(x[at], y[at]), t + 1
-                for n, g in grads.items():
-                    m[n], s[n] = 0.9 * m[n] + 0.1 * g, 0.999 * s[n] + 0.001 * g * g
-                    p[n] -= self.rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.999**t)) + 1e-8)
-            now = self.loss(self._forward(held[0])[0], held[1])
-            if now < best - 1e-6:
-                best, kept, worse = now, {n: a.copy() for n, a in p.items()}, 0
-            elif (worse := worse + 1) >= self.patience:
-                break
-        self.p = kept or p
+        t = 0
+        parts = [part for part in np.array_split(np.arange(len(x)), max(self.folds, 2)) if len(part)]
+        for held in parts if self.folds > 1 else parts[:1]:
+            learn = np.setdiff1d(np.arange(len(x)), held) if len(parts) > 1 else held
+            best, kept, worse = math.inf, None, 0
+            for _ in range(self.epochs):
+                order = rng.permutation(learn)
+                for at in (order[i : i + self.batch] for i in range(0, len(order), self.batch)):
+                    mask = (rng.random((len(at), u)) >= self.dropout) / (1 - self.dropout)
+                    grads, t = self._gradients(x[at], y[at], mask), t + 1
+                    for n, g in grads.items():
+                        m[n], s[n] = 0.9 * m[n] + 0.1 * g, 0.999 * s[n] + 0.001 * g * g
+                        p[n] -= self.rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.999**t)) + 1e-8)
+                now = self.loss(self._forward(x[held])[0], y[held])
+                if now < best - 1e-6:
+                    best, kept, worse = now, {n: a.copy() for n, a in p.items()}, 0
+                elif (worse := worse + 1) >= self.patience:
+                    break
+            if kept:
+                self.p = p = kept
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         logits = self._forward(self._codes(x))[0][:, :-1]
+        if self.temperature > 0:
+            # the greatest of logits with Gumbel noise is a draw from the softmax
+            logits = logits / self.temperature + np.random.default_rng([self.seed, 1]).gumbel(size=logits.shape)
         return self.symbols[np.argmax(logits, 1)]
 
     @staticmethod
@@ -404,8 +418,10 @@ class GatedNetwork:
             inputs = [(1 - t[3]) * t[1] + t[3] * t[6] for t in tape]
         return inputs[-1] @ p["W"] + p["b"], inputs[-1], tapes
 
-    def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (logits, last, tapes) = self.p, self._forward(x)
+    def _gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
+        p, (_, last, tapes) = self.p, self._forward(x)
+        last = last * mask
+        logits = last @ p["W"] + p["b"]
         g = {n: np.zeros_like(a) for n, a in p.items()}
         soft = np.exp(logits - logits.max(1, keepdims=True))
         soft /= soft.sum(1, keepdims=True)
@@ -414,7 +430,7 @@ class GatedNetwork:
         g["W"], g["b"] = last.T @ soft, soft.sum(0)
         steps = x.shape[1]
         from_above = [np.zeros_like(last) for _ in range(steps)]
-        from_above[-1] = soft @ p["W"].T
+        from_above[-1] = soft @ p["W"].T * mask
         for k in reversed(range(self.layers)):
             dh, below = np.zeros_like(last), [None] * steps
             for t in reversed(range(steps)):
